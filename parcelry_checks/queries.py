@@ -79,10 +79,13 @@ def drop_databases(spark: SparkSession) -> None:
 
 
 def loaded_database(
-    spark: SparkSession, sf_dir: str, targets: Sequence[Target] = TARGETS
+    spark: SparkSession,
+    sf_dir: str,
+    targets: Sequence[Target] = TARGETS,
+    partitioned: bool = True,
 ) -> str:
     """A database that holds the result of an earlier run."""
-    name = new_database(spark)
+    name = new_database(spark, partitioned)
     rows = {
         REVISION.name: lambda: fx.loaded_revisions(spark, sf_dir),
         TAG.name: lambda: fx.loaded_tags(spark, sf_dir),
@@ -242,13 +245,13 @@ def create_empty_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_rows_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    database = loaded_database(spark, sf_dir, [ENTRY])
+    database = loaded_database(spark, sf_dir, [ENTRY], partitioned=False)
     append_rows(merge_entries_check(spark, sf_dir, True), ENTRY, database)
     return read(spark, database, ENTRY)
 
 
-def _full_database(spark: SparkSession, sf_dir: str) -> str:
-    database = new_database(spark)
+def _full_database(spark: SparkSession, sf_dir: str, partitioned: bool = True) -> str:
+    database = new_database(spark, partitioned)
     append_rows(_revisions(spark, sf_dir), REVISION, database)
     append_rows(_tags(spark, sf_dir), TAG, database)
     append_rows(_entries(spark, sf_dir), ENTRY, database)
@@ -269,11 +272,11 @@ def partition_layout_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_probe_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_rows(spark, _full_database(spark, sf_dir))
+    return count_rows(spark, _full_database(spark, sf_dir, partitioned=False))
 
 
 def missing_tables_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    database = _full_database(spark, sf_dir)
+    database = _full_database(spark, sf_dir, partitioned=False)
     drop_targets(spark, database, [TAG])
     return table_report(spark, database)
 
@@ -282,7 +285,7 @@ def missing_tables_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_all_check(spark: SparkSession, sf_dir: str, isolate: bool = False) -> DataFrame:
-    database = loaded_database(spark, sf_dir)
+    database = loaded_database(spark, sf_dir, partitioned=not isolate)
     consolidate(spark, all_sources(spark, sf_dir), database, isolate=isolate)
     return state(spark, database)
 
@@ -294,7 +297,7 @@ def consolidate_one_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate_rerun_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    database = loaded_database(spark, sf_dir)
+    database = loaded_database(spark, sf_dir, partitioned=False)
     sources = all_sources(spark, sf_dir)
     first = consolidate(spark, sources, database)
     second = consolidate(spark, sources, database)
@@ -310,7 +313,7 @@ def run_summary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = sources_from_frames(
         fx.packages(spark, sf_dir), fx.objects(spark, sf_dir), kinds
     )
-    summary = consolidate(spark, sources, new_database(spark)).summary()
+    summary = consolidate(spark, sources, new_database(spark, False)).summary()
     return spark.createDataFrame(
         [tuple(summary.values())],
         "message string, num_tables bigint, successful_tables bigint, failed_tables bigint, "
@@ -353,7 +356,7 @@ def run_stream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Run the event-driven merge to its end; the database and the dead-letter folder."""
     inbox, letters = new_folder(spark, "events"), new_folder(spark, "dead-letters")
     fx.events(spark, sf_dir).write.json(inbox)
-    database = loaded_database(spark, sf_dir)
+    database = loaded_database(spark, sf_dir, partitioned=False)
     query = merge_on_events(
         read_events(spark, inbox),
         lambda session: all_sources(session, sf_dir),
