@@ -10,38 +10,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NULLS = "__nulls"
+TAG_KEY = ("registry", "pkg_name", "tag_name")
+_REVISION_KEY = ("registry", "pkg_name", "top_hash")
 
 
-def key_columns(key: Sequence[str]) -> list[str]:
-    return [f"__{name}" for name in key] + [_NULLS]
+def _nullable(key: Sequence[str]) -> list[str]:
+    """Key columns that may be NULL: all but the registry, which the merge sets itself."""
+    return [name for name in key if name != "registry"]
 
 
-def with_key(frame: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Adds never-NULL twins of the (string) key columns and a bit mask of the NULL ones.
+def encode_key(frame: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Replaces NULLs in the (string) key columns, noting in a bit mask where they were.
 
-    Plain equality of these columns is null-safe equality of the key, and the
-    distribution of an aggregate on them is the one the join asks for, so the
-    two share one shuffle. ``<=>`` on the raw columns would cost another.
+    Plain equality of the result is null-safe equality of the key. An aggregate
+    and a join on it share one shuffle; with ``<=>`` on the raw columns each
+    would need its own. ``decode_key`` gives the raw columns back.
     """
     mask = F.lit(0)
-    for position, name in enumerate(key):
+    for position, name in enumerate(_nullable(key)):
         mask = mask + F.when(F.col(name).isNull(), 1 << position).otherwise(0)
-    twins: list[Column] = [F.coalesce(name, F.lit("")).alias(f"__{name}") for name in key]
-    return frame.select("*", *twins, mask.alias(_NULLS))
+    filled = {name: F.coalesce(name, F.lit("")) for name in _nullable(key)}
+    return frame.withColumns({_NULLS: mask}).withColumns(filled)
+
+
+def decode_key(frame: DataFrame, key: Sequence[str]) -> DataFrame:
+    raw = {
+        name: F.when(F.col(_NULLS).bitwiseAND(1 << position) == 0, F.col(name))
+        for position, name in enumerate(_nullable(key))
+    }
+    return frame.withColumns(raw).drop(_NULLS)
 
 
-def distinct_key(frame: DataFrame, key: Sequence[str]) -> DataFrame:
-    return with_key(frame.select(*key), key).select(*key_columns(key)).distinct()
+def _encoded(key: Sequence[str]) -> list[str]:
+    return [*key, _NULLS]
+
+
+def distinct_keys(frame: DataFrame, key: Sequence[str]) -> DataFrame:
+    return encode_key(frame.select(*key), key).distinct()
 
 
 def _known_keys(target: DataFrame, key: Sequence[str], null_safe: bool) -> DataFrame:
     # Under plain equality a key with a NULL part equals no other key.
-    rows = target.select(*key)
-    return distinct_key(rows if null_safe else rows.dropna(subset=list(key)), key)
+    return distinct_keys(target if null_safe else target.dropna(subset=list(key)), key)
 
 
 def new_rows(
@@ -52,29 +66,26 @@ def new_rows(
     Rows that share a key but differ elsewhere are all new together, or none of
     them is. With ``null_safe=False`` a key with a NULL part is always new.
     """
-    known = _known_keys(target, key, null_safe)
-    return (
-        with_key(source.distinct(), key)
-        .join(known, key_columns(key), "left_anti")
-        .select(*source.columns)
+    fresh = (
+        encode_key(source, key)
+        .distinct()
+        .join(_known_keys(target, key, null_safe), _encoded(key), "left_anti")
     )
+    return decode_key(fresh, key).select(*source.columns)
 
 
 def new_keys(
     source: DataFrame, target: DataFrame, key: Sequence[str], null_safe: bool = True
 ) -> DataFrame:
-    """The distinct keys of ``new_rows``, without moving the other columns."""
+    """The distinct encoded keys of ``new_rows``, without moving the other columns."""
     known = _known_keys(target, key, null_safe)
-    return distinct_key(source, key).join(known, key_columns(key), "left_anti")
+    return distinct_keys(source, key).join(known, _encoded(key), "left_anti")
 
 
 def rows_with_key(source: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Source rows whose key is among ``keys`` (as made by ``new_keys``)."""
-    return with_key(source, key).join(keys, key_columns(key), "left_semi").select(*source.columns)
-
-
-TAG_KEY = ("registry", "pkg_name", "tag_name")
-_REVISION_KEY = ("registry", "pkg_name", "top_hash")
+    found = encode_key(source, key).join(keys, _encoded(key), "left_semi")
+    return decode_key(found, key).select(*source.columns)
 
 
 def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:
@@ -104,13 +115,17 @@ def choose_tags(tags: DataFrame, revisions: DataFrame) -> DataFrame:
     Of several hashes the one with the newest revision wins, then the greatest.
     """
     created = (
-        with_key(revisions.select(*_REVISION_KEY, "timestamp"), _REVISION_KEY)
-        .groupBy(*key_columns(_REVISION_KEY))
+        encode_key(revisions.select(*_REVISION_KEY, "timestamp"), _REVISION_KEY)
+        .groupBy(*_encoded(_REVISION_KEY))
         .agg(F.max("timestamp").alias("__created"))
     )
+    dated = (
+        encode_key(tags, _REVISION_KEY)
+        .distinct()
+        .join(created, _encoded(_REVISION_KEY), "left")
+    )
     return (
-        with_key(tags.distinct(), _REVISION_KEY)
-        .join(created, key_columns(_REVISION_KEY), "left")
+        decode_key(dated, _REVISION_KEY)
         .groupBy(*TAG_KEY)
         .agg(F.max_by("top_hash", F.struct("__created", "top_hash")).alias("top_hash"))
     )
@@ -119,30 +134,25 @@ def choose_tags(tags: DataFrame, revisions: DataFrame) -> DataFrame:
 def changed_tags(chosen: DataFrame, target: DataFrame) -> DataFrame:
     """Chosen tags the target does not hold as its single row for the key."""
     held = (
-        with_key(target, TAG_KEY)
-        .groupBy(*key_columns(TAG_KEY))
-        .agg(
-            F.count(F.lit(1)).alias("__copies"),
-            F.max("top_hash").alias("__held"),
-        )
+        encode_key(target.select(*TAG_KEY, F.col("top_hash").alias("__held")), TAG_KEY)
+        .groupBy(*_encoded(TAG_KEY))
+        .agg(F.count(F.lit(1)).alias("__copies"), F.max("__held").alias("__held"))
     )
     settled = (F.col("__copies") == 1) & F.col("top_hash").eqNullSafe(F.col("__held"))
-    return (
-        with_key(chosen, TAG_KEY)
-        .join(held, key_columns(TAG_KEY), "left")
+    changed = (
+        encode_key(chosen, TAG_KEY)
+        .join(held, _encoded(TAG_KEY), "left")
         .where(F.col("__copies").isNull() | ~settled)
-        .select(*chosen.columns)
     )
+    return decode_key(changed, TAG_KEY).select(*chosen.columns)
 
 
 def replace_tags(target: DataFrame, tags: DataFrame) -> DataFrame:
     """The target with its rows for the keys of ``tags`` replaced by ``tags``."""
-    kept = (
-        with_key(target, TAG_KEY)
-        .join(distinct_key(tags, TAG_KEY), key_columns(TAG_KEY), "left_anti")
-        .select(*tags.columns)
+    kept = encode_key(target, TAG_KEY).join(
+        distinct_keys(tags, TAG_KEY), _encoded(TAG_KEY), "left_anti"
     )
-    return kept.unionByName(tags)
+    return decode_key(kept, TAG_KEY).select(*tags.columns).unionByName(tags)
 
 
 def upsert_tags(tags: DataFrame, target: DataFrame, revisions: DataFrame) -> DataFrame:
