@@ -1,6 +1,6 @@
 """Consolidates per-registry package and object views into three Spark tables."""
 
-from parcelry.plans.consolidate import consolidate
+from parcelry.plans.run import consolidate
 from parcelry.plans.tables import create_targets, drop_targets
 from parcelry.operators.listing import tag_listing, tag_lookup
 from parcelry.sources.views import Sources, sources_from_frames, sources_from_views

@@ -1,4 +1,4 @@
-from parcelry.plans.consolidate import RunReport, consolidate
+from parcelry.plans.run import RunReport, consolidate
 from parcelry.plans.tables import (
     append_rows,
     count_rows,

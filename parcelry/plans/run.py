@@ -118,7 +118,7 @@ class _Run:
         limit the full rows are picked in the scan and never shuffled as a whole.
         """
         held = self.held(target, registries)
-        if held.isEmpty():
+        if not held.take(1):
             return append_rows(rows.distinct(), target, self.database)
         with Staging(self.spark) as staging:
             keys = staging.write(new_keys(rows, held, target.key, null_safe=not self.strict))
@@ -144,7 +144,7 @@ class _Run:
         if self.strict:
             return append_rows(tags_to_append(tags, held), target, self.database)
         chosen = choose_tags(tags, self.held(REVISION, registries))
-        if held.isEmpty():
+        if not held.take(1):
             return append_rows(chosen, target, self.database)
         with Staging(self.spark) as staging:
             changed = staging.write(changed_tags(chosen, held))

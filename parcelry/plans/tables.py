@@ -127,7 +127,9 @@ def table_report(
 
 
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    """Names of the partition columns, from the table's description."""
+    names = [row["col_name"] for row in spark.sql(f"DESCRIBE TABLE {table}").collect()]
+    return names[names.index("# col_name") + 1 :] if "# col_name" in names else []
 
 
 def required(frame: DataFrame, target: Target) -> DataFrame:

@@ -26,6 +26,10 @@ def local_session(cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # Keeps all cores busy on small tables, and lets Spark join by hash
+        # where it has seen that every partition fits.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

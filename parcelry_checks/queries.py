@@ -25,7 +25,7 @@ from parcelry.operators.merge import (
     upsert_tags,
 )
 from parcelry.operators.projections import bad_timestamps, entry_rows, revision_rows, tag_rows
-from parcelry.plans.consolidate import consolidate
+from parcelry.plans.run import consolidate
 from parcelry.plans.tables import (
     append_rows,
     count_rows,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelry import tag_listing, tag_lookup
-from parcelry.plans.consolidate import consolidate
+from parcelry.plans.run import consolidate
 from parcelry.plans.tables import drop_targets, table_name
 from parcelry.schemas import ENTRY, REVISION, TAG, TARGETS
 from parcelry.sources.views import sources_from_frames
