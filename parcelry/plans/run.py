@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ from parcelry.plans.tables import (
     overwrite_rows,
     partition_columns,
     require_targets,
+    required,
     table_name,
 )
 from parcelry.schemas import REVISION, TAG, TARGETS, Target
@@ -39,6 +40,10 @@ from parcelry.sources.views import Sources
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+class TagsNotReplaced(RuntimeError):
+    """Replacing tag partitions failed; the message says where their state is kept."""
+
+
 @dataclass(frozen=True)
 class Outcome:
     """Result of one job: the registries it covered and the rows it wrote."""
@@ -155,11 +160,21 @@ class _Run:
             name = table_name(target, self.database)
             if partition_columns(self.spark, name):
                 replaced = held.where(F.col("registry").isin(*touched))
+                state = required(replace_tags(replaced, changed.frame), target)
             else:
                 replaced = self.spark.table(name).select(*target.columns)
-            # Staged in full before the old files go, so a lost job loses no tag.
-            state = staging.write(replace_tags(replaced, changed.frame))
-            overwrite_rows(state.frame, target, self.database)
+                state = replace_tags(replaced, changed.frame)
+            # Staged and checked in full before the old files go, and kept until
+            # the new ones are there.
+            staged = staging.write(state)
+            staging.keep_on_error()
+            try:
+                overwrite_rows(staged.frame, target, self.database)
+            except (PySparkException, Py4JError) as error:
+                raise TagsNotReplaced(
+                    f"tags of {touched} may be incomplete, their state is in "
+                    f"{staging.folder}: {error}"
+                ) from error
             return changed.rows
 
     def step(self, target: Target) -> Callable[[Target, Sequence[str]], int]:
@@ -172,6 +187,8 @@ class _Run:
     def attempt(self, target: Target, registries: Sequence[str]) -> list[Outcome]:
         try:
             rows = self.step(target)(target, registries)
+        except TagsNotReplaced as error:
+            return [Outcome(target.name, tuple(registries), "failed", error=str(error))]
         except (PySparkException, Py4JError) as error:
             if len(registries) > 1:
                 return [o for r in registries for o in self.attempt(target, [r])]

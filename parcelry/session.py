@@ -44,19 +44,24 @@ class Staging:
     """Writes intermediate results to the shared folder and removes them on exit.
 
     A staged table cuts the lineage, survives the loss of executors and has a
-    known size, so the next step can be planned on facts.
+    known size, so the next step can be planned on facts. After ``keep_on_error``
+    the folder stays if the step fails.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{work_folder(spark)}/staging-{uuid.uuid4().hex}"
         self._count = 0
+        self._keep_on_error = False
+
+    def keep_on_error(self) -> None:
+        self._keep_on_error = True
 
     def __enter__(self) -> "Staging":
         return self
 
-    def __exit__(self, *exc) -> None:
-        if self._count:
+    def __exit__(self, error_type, error, trace) -> None:
+        if self._count and not (error_type and self._keep_on_error):
             delete_folder(self.spark, self.folder)
 
     def write(self, frame: DataFrame) -> StagedTable:

@@ -1,12 +1,16 @@
+import re
 from collections import Counter
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from parcelry import tag_listing, tag_lookup
+from parcelry.plans import run
 from parcelry.plans.run import consolidate
 from parcelry.plans.tables import drop_targets, table_name
 from parcelry.schemas import ENTRY, REVISION, TAG, TARGETS
+from parcelry.session import delete_folder
 from parcelry.sources.views import sources_from_frames
 from tests.conftest import rows
 
@@ -81,6 +85,25 @@ def test_a_tag_moves(spark, make_database, make_sources, partitioned):
     ]
 
 
+def test_a_failed_overwrite_keeps_the_staged_tags(
+    spark, make_database, make_sources, monkeypatch
+):
+    database = make_database(partitioned=False)
+    consolidate(spark, make_sources(views("r1", "h1")), database)
+
+    def fail(*_):
+        raise PySparkException("no space left")
+
+    monkeypatch.setattr(run, "overwrite_rows", fail)
+    report = consolidate(spark, make_sources(views("r1", "h2")), database)
+    failed = [o for o in report.outcomes if o.status == "failed"]
+    assert [o.target for o in failed] == ["package_tag"]
+    folder = re.search(r"state is in (\S+):", failed[0].error).group(1)
+    kept = spark.read.parquet(f"{folder}/2").select(*TAG.columns)
+    assert rows(kept) == [("r1", "a/a", "latest", "h2"), ("r1", "b/b", "latest", "h3")]
+    delete_folder(spark, folder)
+
+
 def test_strict_run_repeats_what_it_cannot_compare(spark, make_database, make_sources):
     database = make_database(partitioned=False)
     consolidate(spark, make_sources(views("r1", "h1")), database, strict=True)
