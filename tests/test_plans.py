@@ -20,6 +20,7 @@ from parcelry.operators import (
 from parcelry.operators.merge import new_keys, rows_with_key
 from parcelry.plans.tables import append_rows, table_name
 from parcelry.schemas import ENTRY, REVISION, TAG, TARGETS
+from parcelry.session import work_folder
 from parcelry_checks import fixtures as fx
 from parcelry_checks.queries import new_folder
 
@@ -93,9 +94,72 @@ def test_keys_are_shuffled_once_on_each_side(frames, large):
     assert text.count("HashAggregate") == 4 and "ObjectHashAggregate" not in text
 
 
-def test_new_rows_shuffle_the_source_twice_and_the_target_once(frames, large):
+def test_both_sides_of_new_rows_are_shuffled_for_the_join(frames, large):
+    """Once to drop copies, once by the key; the second lets Spark see a skew."""
     new = new_rows(entry_rows(frames["objects"]), frames["package_entry"], ENTRY.key)
-    assert plan(new).count("Exchange hashpartitioning") == 3
+    assert plan(new).count("Exchange hashpartitioning") == 4
+    assert plan(new).count("Exchange hashpartitioning(__hash") == 2
+
+
+@pytest.fixture
+def skewed(spark, large):
+    """Limits so low that a key with a third of a small table counts as skewed."""
+    limits = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def hot_entries(spark):
+    """30,000 entries with a key each, and 15,000 that share one but differ in place."""
+    number = F.col("id").cast("string")
+    return spark.range(45000).repartition(8).select(
+        F.lit("r").alias("registry"),
+        F.when(F.col("id") < 15000, "hot").otherwise(F.sha2(number, 256)).alias("top_hash"),
+        F.lit("README").alias("logical_key"),
+        F.sha2(F.concat(F.lit("p"), number), 512).alias("physical_key"),
+        F.lit("v").alias("multihash"),
+        F.col("id").alias("size"),
+        F.lit(None).cast("string").alias("metadata"),
+    )
+
+
+def test_a_hot_key_is_cut_into_several_tasks(spark, skewed):
+    work_folder(spark)  # sets the checkpoint folder where the session names none
+    entries = hot_entries(spark)
+    half = entries.where(F.col("size") >= 30000)
+    for join, expected in (
+        (new_rows(entries, half, ENTRY.key), 30000),
+        (
+            rows_with_key(
+                entries.distinct(),
+                new_keys(entries, half, ENTRY.key).checkpoint(),
+                ENTRY.key,
+            ),
+            30000,
+        ),
+        (
+            tag_listing(
+                entries,
+                spark.createDataFrame(
+                    [("r", "p", "latest", "hot")],
+                    "registry string, pkg_name string, tag_name string, top_hash string",
+                ),
+            ),
+            15000,
+        ),
+    ):
+        assert len(join.collect()) == expected
+        assert "skew=true" in join._jdf.queryExecution().executedPlan().toString()
 
 
 def test_known_rows_are_dropped_before_any_shuffle(spark, frames):
