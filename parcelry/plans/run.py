@@ -1,7 +1,7 @@
 """Merge the source views of all registries, or some, into the three tables.
 
 One job per target covers all registries of a group. A group that fails is
-repeated registry by registry, so one bad source does not hold up the others.
+repeated by halves, so one bad source fails alone and does not hold up the others.
 """
 
 from __future__ import annotations
@@ -105,10 +105,7 @@ class _Run:
     broadcast_bytes: int
 
     def source(self, kind: str, registries: Sequence[str]) -> DataFrame:
-        frame = self.sources.view(kind)
-        if set(registries) == set(self.sources.registries):
-            return frame
-        return frame.where(F.col("registry").isin(*registries))
+        return self.sources.view(kind).where(F.col("registry").isin(*registries))
 
     def held(self, target: Target, registries: Sequence[str]) -> DataFrame:
         """Target rows of these registries; names as literals prune its partitions."""
@@ -191,7 +188,10 @@ class _Run:
             return [Outcome(target.name, tuple(registries), "failed", error=str(error))]
         except (PySparkException, Py4JError) as error:
             if len(registries) > 1:
-                return [o for r in registries for o in self.attempt(target, [r])]
+                # By halves: the good ones still share a few large jobs.
+                half = len(registries) // 2
+                halves = registries[:half], registries[half:]
+                return [o for part in halves for o in self.attempt(target, part)]
             return [Outcome(target.name, tuple(registries), "failed", error=str(error))]
         return [Outcome(target.name, tuple(registries), "ok", rows)]
 

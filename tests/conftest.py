@@ -55,3 +55,19 @@ def make_sources(spark):
 def rows(frame):
     """Rows as sorted tuples, NULL first."""
     return sorted((tuple(r) for r in frame.collect()), key=lambda r: [(v is not None, v) for v in r])
+
+
+@pytest.fixture
+def interpreted(spark):
+    """No generated code: for runs of many jobs over a handful of rows, compiling is the cost."""
+    settings = {
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.sql.shuffle.partitions": "2",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)

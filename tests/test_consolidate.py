@@ -14,6 +14,7 @@ from parcelry.session import delete_folder
 from parcelry.sources.views import sources_from_frames
 from tests.conftest import rows
 
+pytestmark = pytest.mark.usefixtures("interpreted")
 TYPE = ("SHA256", "ab")
 
 
@@ -177,6 +178,8 @@ def test_one_bad_registry_does_not_stop_the_others(spark, make_database, make_so
     assert (report.successful, report.failed) == (8, 1)
     failed = [o for o in report.outcomes if o.status == "failed"]
     assert [(o.target, o.registries) for o in failed] == [("package_revision", ("bad",))]
+    good = [o.registries for o in report.outcomes if (o.target, o.status) == ("package_revision", "ok")]
+    assert good == [("r1", "r2")]
     assert "CAST_INVALID_INPUT" in failed[0].error
     held = contents(spark, database)
     assert {row[0] for row in held["package_revision"]} == {"r1", "r2"}
@@ -196,6 +199,17 @@ def test_a_null_key_fails_only_in_the_partitioned_layout(spark, make_database, m
     assert report.failed == 1 and "pkg_name is NULL" in report.outcomes[0].error
 
 
+def test_frames_may_hold_more_registries_than_asked_for(spark, make_database, make_sources):
+    everything = make_sources(views("r1") | views("r2"))
+    one = sources_from_frames(
+        everything.packages, everything.objects, {"r2": ("packages", "objects")}
+    )
+    database = make_database(partitioned=False)
+    consolidate(spark, one, database)
+    for held in contents(spark, database).values():
+        assert {row[0] for row in held} == {"r2"}
+
+
 def test_no_registries(spark, make_database):
     report = consolidate(spark, sources_from_frames(None, None, {}), make_database(targets=TARGETS))
     assert report.summary()["message"] == (

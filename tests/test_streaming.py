@@ -19,6 +19,7 @@ from parcelry.streaming import (
 from tests.conftest import rows
 from tests.test_consolidate import package, views
 
+pytestmark = pytest.mark.usefixtures("interpreted")
 SOURCE = "org.example.packages"
 NOW = datetime(2025, 4, 26, 12, 0, 0)
 
