@@ -184,9 +184,10 @@ def _all(part: str) -> str:
 # The three tables side by side in one frame, as ``queries.state`` lays them out.
 def _state(revisions: str, tags: str, entries: str) -> str:
     return f"""
-        select 'package_revision' as table_name, registry, pkg_name, top_hash, timestamp, message,
+        select 'package_revision' as table_name, registry, pkg_name, top_hash,
+               timestamp::varchar as timestamp, message,
                metadata, null::varchar as tag_name, null::varchar as logical_key,
-               null::varchar as physical_key, null::varchar as multihash, null::bigint as size
+               null::varchar as physical_key, null::varchar as multihash, null::varchar as size
         from ({revisions})
         union all
         select 'package_tag', registry, pkg_name, top_hash, null, null, null, tag_name, null, null,
@@ -194,7 +195,7 @@ def _state(revisions: str, tags: str, entries: str) -> str:
         from ({tags})
         union all
         select 'package_entry', registry, null, top_hash, null, null, metadata, null, logical_key,
-               physical_key, multihash, size
+               physical_key, multihash, size::varchar
         from ({entries})"""
 
 
@@ -353,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_tables": _with(
             """select 'package_revision' as table_name, true as present, count(*) as n_rows
                from revisions
-               union all select 'package_tag', false, null
+               union all select 'package_tag', false, 0::bigint
                union all select 'package_entry', true, count(*) from entries""",
             "revisions",
             "entries",

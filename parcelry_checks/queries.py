@@ -107,9 +107,13 @@ def read(spark: SparkSession, database: str, target: Target) -> DataFrame:
 
 
 def state(spark: SparkSession, database: str) -> DataFrame:
-    """The three tables below each other, with a column for each column of any."""
+    """The three tables below each other, with a text column for each column of any."""
     frames = [
-        read(spark, database, t).select(F.lit(t.name).alias("table_name"), "*") for t in TARGETS
+        read(spark, database, t).select(
+            F.lit(t.name).alias("table_name"),
+            *[F.col(name).cast("string").alias(name) for name in t.columns],
+        )
+        for t in TARGETS
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -278,7 +282,7 @@ def count_probe_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_tables_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = _full_database(spark, sf_dir, partitioned=False)
     drop_targets(spark, database, [TAG])
-    return table_report(spark, database)
+    return table_report(spark, database).fillna(0, "n_rows")
 
 
 # --- whole runs
