@@ -11,7 +11,7 @@ import os
 import sys
 import time
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from parcelry_checks.queries import drop_databases, new_database, new_folder, on
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
 # Revisions from here on arrive after the first load: about 1 % of all.
-ARRIVES_FROM = datetime(2001, 7, 9)
+ARRIVES_FROM = datetime(2001, 7, 9, tzinfo=timezone.utc)
 
 timings: dict[str, float] = {}
 
@@ -56,7 +56,7 @@ def main() -> None:
     registry, package = one_package(spark, SF_DIR)
 
     # What there was before the last arrivals, again as files.
-    limit = F.unix_timestamp(F.lit(ARRIVES_FROM))
+    limit = int(ARRIVES_FROM.timestamp())
     later = packages.where(F.col("timestamp") != "latest").where(
         F.col("timestamp").try_cast("bigint") >= limit
     )

@@ -5,6 +5,7 @@ from parcelry.functions.columns import (
     multihash,
     registry_from_name,
     strip_view_suffix,
+    zoneless,
 )
 
 __all__ = [
@@ -14,4 +15,5 @@ __all__ = [
     "multihash",
     "registry_from_name",
     "strip_view_suffix",
+    "zoneless",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def multihash(hash_struct: Column) -> Column:
     return F.concat(prefix, hash_struct["value"])
 
 
+def zoneless(moment: datetime) -> Column:
+    """A moment as a zone-less timestamp, in UTC if it has a zone.
+
+    As text, since a ``datetime`` literal depends on the zones of process and session.
+    """
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def epoch_seconds(text: Column, on_bad: str = "fail") -> Column:
     """Epoch seconds held as text; ``on_bad="quarantine"`` turns other text into NULL."""
     if on_bad == "fail":
@@ -39,7 +51,7 @@ def epoch_seconds(text: Column, on_bad: str = "fail") -> Column:
 
 def epoch_to_timestamp(text: Column, on_bad: str = "fail") -> Column:
     """Epoch seconds as text to a zone-less timestamp, whatever the session time zone."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    start = zoneless(datetime(1970, 1, 1))
     return F.timestamp_add("SECOND", epoch_seconds(text, on_bad), start)
 
 

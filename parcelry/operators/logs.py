@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.functions.columns import log_severity
+from parcelry.functions.columns import log_severity, zoneless
 
 
 def recent(log: DataFrame, asof: datetime, minutes: int = 15) -> DataFrame:
     """Lines of the last ``minutes`` before ``asof``, the window's first instant included."""
-    start = F.timestamp_add("MINUTE", F.lit(-minutes), F.lit(asof).cast("timestamp_ntz"))
+    start = F.timestamp_add("MINUTE", F.lit(-minutes), zoneless(asof))
     return log.where(F.col("timestamp") >= start)
 
 

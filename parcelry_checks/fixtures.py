@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelry.functions import zoneless
+
 # Revisions up to here are in the pre-loaded targets.
 LOADED_UNTIL = datetime(1998, 1, 1)
 EVENT_SOURCE = "org.example.packages"
@@ -57,7 +59,7 @@ def _top_hash(order_key: str) -> Column:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    start = zoneless(datetime(1970, 1, 1))
     return (
         table(spark, sf_dir, "orders")
         .join(customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
@@ -139,7 +141,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revision target of an earlier run, under another message."""
-    old = _orders(spark, sf_dir).where(F.col("o_orderdate") < F.lit(LOADED_UNTIL))
+    old = _orders(spark, sf_dir).where(F.col("o_orderdate") < zoneless(LOADED_UNTIL))
     return old.select(
         "registry",
         "pkg_name",
@@ -154,7 +156,7 @@ def loaded_entries(spark: SparkSession, sf_dir: str, entries: DataFrame) -> Data
     """Entry target of an earlier run, with the objects in another place."""
     old = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderdate") < F.lit(LOADED_UNTIL))
+        .where(F.col("o_orderdate") < zoneless(LOADED_UNTIL))
         .select(_top_hash("o_orderkey").alias("top_hash"))
     )
     moved = F.replace(F.col("physical_key"), F.lit("/parts/"), F.lit("/archive/"))

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import NumberFormatException
@@ -10,6 +10,7 @@ from parcelry.functions import (
     multihash,
     registry_from_name,
     strip_view_suffix,
+    zoneless,
 )
 
 
@@ -55,6 +56,23 @@ def test_epoch_is_independent_of_the_session_zone(spark, zone):
     ]
 
 
+def test_moments_are_independent_of_the_zones(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    east = timezone(timedelta(hours=2))
+    try:
+        found = spark.range(1).select(
+            zoneless(datetime(2024, 3, 31, 2, 30)),
+            zoneless(datetime(2024, 3, 31, 2, 30, 0, 5, tzinfo=east)),
+        )
+        assert tuple(found.first()) == (
+            datetime(2024, 3, 31, 2, 30),
+            datetime(2024, 3, 31, 0, 30, 0, 5),
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_bad_epoch_fails_or_is_null(spark):
     with pytest.raises(NumberFormatException):
         apply(spark, epoch_to_timestamp, ["v1.0"])
