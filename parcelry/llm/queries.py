@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.llm import bpe, decontaminate, quality, simhash
+from parcelry.llm import bpe, decontaminate, language, quality, simhash, toxicity
 from parcelry.session import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn_languages(docs)
+    return docs.select(
+        "doc_id",
+        language.held_out(F.col("doc_id")).alias("held_out"),
+        language.languages(F.col("text"), model).alias("found"),
+    ).select(
+        "doc_id",
+        "held_out",
+        F.col("found.lang").alias("lang_pred"),
+        "found.score",
+        "found.langs",
+        "found.shares",
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.quality(F.col("text"), quality.fit_references(docs))
@@ -40,6 +57,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    with Staging(spark) as staging:
+        lexicon = toxicity.learn_lexicon(docs, labels, staging)
+    return docs.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        toxicity.toxicity(F.col("text"), lexicon).alias("found"),
+    ).select("doc_id", "held_out", "found.score", "found.n_hits", "found.predicted")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = decontaminate.benchmark_windows(table(spark, sf_dir, "benchmark"))
     parts = decontaminate.window_parts(windows)
@@ -66,8 +94,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": op1_language,
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
+        "op6_toxicity": op6_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
     }
