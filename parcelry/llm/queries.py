@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.llm import bpe, decontaminate, language, quality, simhash, toxicity
-from parcelry.session import Staging
+from parcelry.llm import (
+    bpe,
+    decontaminate,
+    language,
+    licenses,
+    quality,
+    simhash,
+    toxicity,
+    urls,
+    warc,
+)
+from parcelry.session import Staging, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +46,32 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values of the query: the rules, and hosts that are blocked where no rule fits.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+BLOCKED_HOSTS = [
+    ("ads-track.example.com", "/"),
+    ("casino-win.example.com", "/"),
+    ("cheap-pills.example.com", "/"),
+    ("free-bets.example.com", "/"),
+]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    blocked = spark.createDataFrame(BLOCKED_HOSTS, "host string, path string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, blocked)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.quality(F.col("text"), quality.fit_references(docs))
@@ -68,6 +105,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.score", "found.n_hits", "found.predicted")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The result reads the archives, which therefore stay until the folder is cleared.
+    folder = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    records = warc.resolve_revisits(table(spark, sf_dir, "pages"))
+    warc.write_archives(records, folder, date="2024-01-01T00:00:00Z")
+    return warc.read_archives(spark, folder, payload=False).drop("payload")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = decontaminate.benchmark_windows(table(spark, sf_dir, "benchmark"))
     parts = decontaminate.window_parts(windows)
@@ -95,9 +140,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
+        "op2_urls": op2_urls,
+        "op3_licenses": op3_licenses,
         "op4_quality": op4_quality,
         "op5_bpe": op5_bpe,
         "op6_toxicity": op6_toxicity,
+        "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
     }
