@@ -14,6 +14,7 @@ from parcelry.llm import (
     decontaminate,
     language,
     licenses,
+    pages,
     quality,
     simhash,
     toxicity,
@@ -137,6 +138,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"), Staging(spark))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -148,6 +153,7 @@ def queries() -> dict[str, Query]:
         "op7_warc": op7_warc,
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
+        "op10_main_text": op10_main_text,
     }
 
 
