@@ -79,22 +79,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", judged.alias("q")).select("doc_id", "q.*")
 
 
-def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     vocabulary = bpe.Vocabulary(bpe.load_ranks(path), public_tokenizers.PATTERN)
     tokens = bpe.tokenized(spark, F.col("text"), vocabulary)
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", tokens.alias("t"))
-        .select(
-            "doc_id",
-            "t.n_tokens",
-            F.sha2("t.ids", 256).alias("ids_sha256"),
-            F.sha2("t.decoded", 256).alias("decoded_sha256"),
-        )
+    return docs.select("doc_id", tokens.alias("t")).select(
+        "doc_id",
+        "t.n_tokens",
+        F.sha2("t.ids", 256).alias("ids_sha256"),
+        F.sha2("t.decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     with Staging(spark) as staging:

@@ -192,21 +192,62 @@ def links(fingerprints: DataFrame, staging: Staging, cell: int = CELL) -> DataFr
     )
 
 
-def near_duplicates(docs: DataFrame, staging: Staging, doc: str = "doc_id", text: str = "text"):
-    """``doc_id``, ``fp`` (signed) and ``component_id``: the smallest id reachable over links.
+def group_fingerprints(hashed: DataFrame, staging: Staging) -> DataFrame:
+    """``fp``, ``first`` and ``component_id`` for the distinct fingerprints of ``doc_id``, ``fp``.
 
-    Equal texts share a fingerprint and so a component; rows that come twice stay twice. A NULL
-    id is never a component's id unless no row of the component has one. The result is
-    read from the staging folder, so use it before the staging ends.
+    ``first`` is the fingerprint's smallest id, ``component_id`` that of its component.
     """
-    hashed = staging.write(
-        docs.select(F.col(doc).alias("doc_id"), fingerprint(F.col(text)).alias("fp"))
-    ).frame
     firsts = staging.write(hashed.groupBy("fp").agg(F.min("doc_id").alias("first"))).frame
     found = components(staging.write(links(firsts.select("fp"), staging)).frame, staging)
     named = firsts.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = staging.write(named.join(smallest, "root").select("fp", "component_id")).frame
+    return staging.write(named.join(smallest, "root")).frame
+
+
+def near_duplicates(docs: DataFrame, staging: Staging, doc: str = "doc_id", text: str = "text"):
+    """``doc_id``, ``fp`` (signed) and ``component_id``: the smallest id reachable over links.
+
+    Equal texts share a fingerprint and so a component; rows that come twice stay twice. NULL
+    texts and texts without words have the fingerprint zero, linked like any other. A NULL id is
+    no component's id unless all ids of the component are NULL. The result is read from the
+    staging folder, so use it before the staging ends.
+    """
+    hashed = staging.write(
+        docs.select(F.col(doc).alias("doc_id"), fingerprint(F.col(text)).alias("fp"))
+    ).frame
+    by_fp = group_fingerprints(hashed, staging).select("fp", "component_id")
     return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, staging: Staging, doc: str = "doc_id", text: str = "text"):
+    """The rows of ``docs``, one for each component: the one with the smallest id.
+
+    Of several rows with that id and the same fingerprint any one stays. The result is read from
+    the staging folder, so use it before the staging ends.
+    """
+    rows = staging.write(
+        docs.select(
+            F.struct("*").alias("row"),
+            F.col(doc).alias("doc_id"),
+            fingerprint(F.col(text)).alias("fp"),
+        )
+    ).frame
+    by_fp = group_fingerprints(rows.select("doc_id", "fp"), staging)
+    order = F.struct(F.col("first").isNull(), "first", "fp")
+    chosen = by_fp.groupBy("root").agg(F.min(order).alias("x")).select("x.first", "x.fp")
+    kept = rows.alias("r").join(
+        chosen.alias("c"),
+        (F.col("r.fp") == F.col("c.fp")) & F.col("r.doc_id").eqNullSafe(F.col("c.first")),
+        "left_semi",
+    )
+    repeated = staging.write(
+        rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    )
+    if repeated.rows:
+        fps = repeated.frame.distinct()
+        kept = kept.join(fps, "fp", "left_anti").unionByName(
+            kept.join(fps, "fp", "left_semi").dropDuplicates(["doc_id", "fp"])
+        )
+    return kept.select("row.*")
