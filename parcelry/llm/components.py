@@ -35,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, staging: Staging) -> DataFrame:
-    """``node`` and ``root``, the smallest node reachable, for every node of a link.
+    """``node`` and ``root``, the smallest node reachable, for all nodes of links but the roots.
 
     Each round is written to the shared folder, so the plan stays short and a lost executor
     costs one round at most. The number of rounds grows with the logarithm of the nodes.

@@ -143,7 +143,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if name.endswith(".gz"):
+                if content and name.endswith(".gz"):
                     content = zlib.decompress(content, wbits=31)
                 found = [
                     (
@@ -157,8 +157,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                     )
                     for fields, body in _parse(content)
                 ]
+                columns = list(zip(*found)) or [()] * len(_ROWS)
                 yield pa.record_batch(
-                    [pa.array(c, f.type) for c, f in zip(zip(*found), _ROWS)], schema=_ROWS
+                    [pa.array(c, f.type) for c, f in zip(columns, _ROWS)], schema=_ROWS
                 )
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
