@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NULLS = "__nulls"
 _HASH = "__hash"
+_DIGEST = "__digest"
 TAG_KEY = ("registry", "pkg_name", "tag_name")
 _REVISION_KEY = ("registry", "pkg_name", "top_hash")
 
@@ -69,9 +70,23 @@ def distinct_keys(frame: DataFrame, key: Sequence[str]) -> DataFrame:
     return encode_key(frame.select(*key), key).distinct()
 
 
-def _known_keys(target: DataFrame, key: Sequence[str], null_safe: bool) -> DataFrame:
+def _digest(key: Sequence[str]) -> Column:
+    """SHA-256 of the key: 32 bytes, however long its texts are.
+
+    Each text goes in with its length in front, and a NULL without one, so different keys give
+    different bytes, and so different digests.
+    """
+    parts = [
+        F.coalesce(F.concat(F.length(name).cast("string"), F.lit(":"), F.col(name)), F.lit("-"))
+        for name in key
+    ]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def _known_digests(target: DataFrame, key: Sequence[str], null_safe: bool) -> DataFrame:
     # Under plain equality a key with a NULL part equals no other key.
-    return distinct_keys(target if null_safe else target.dropna(subset=list(key)), key)
+    known = target if null_safe else target.dropna(subset=list(key))
+    return known.select(_digest(key).alias(_DIGEST)).distinct()
 
 
 def new_rows(
@@ -82,28 +97,27 @@ def new_rows(
     Rows that share a key but differ elsewhere are all new together, or none of
     them is. With ``null_safe=False`` a key with a NULL part is always new.
     """
-    rows = encode_key(source, key).distinct()
-    known = _known_keys(target, key, null_safe)
-    fresh = _hash_join(rows, known, _encoded(key), "left_anti")
-    return decode_key(fresh, key).select(*source.columns)
+    known = _known_digests(target, key, null_safe)
+    digested = source.withColumn(_DIGEST, _digest(key))
+    return _hash_join(digested, known, [_DIGEST], "left_anti").drop(_DIGEST).distinct()
 
 
 def new_keys(
     source: DataFrame, target: DataFrame, key: Sequence[str], null_safe: bool = True
 ) -> DataFrame:
-    """The distinct encoded keys of ``new_rows``, without moving the other columns.
+    """Digests of the keys of ``new_rows``; nothing but digests is moved.
 
-    No key occurs twice on either side, so nothing can be skewed and each side
-    is shuffled once.
+    No digest occurs twice on either side, so nothing can be skewed and each
+    side is shuffled once.
     """
-    known = _known_keys(target, key, null_safe)
-    return distinct_keys(source, key).join(known, _encoded(key), "left_anti")
+    known = _known_digests(target, key, null_safe)
+    return source.select(_digest(key).alias(_DIGEST)).distinct().join(known, _DIGEST, "left_anti")
 
 
 def rows_with_key(source: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Source rows whose key is among ``keys`` (as made by ``new_keys``)."""
-    found = _hash_join(encode_key(source, key), keys, _encoded(key), "left_semi")
-    return decode_key(found, key).select(*source.columns)
+    digested = source.withColumn(_DIGEST, _digest(key))
+    return _hash_join(digested, keys, [_DIGEST], "left_semi").select(*source.columns)
 
 
 def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:
@@ -129,23 +143,39 @@ def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:
 def choose_tags(tags: DataFrame, revisions: DataFrame) -> DataFrame:
     """One row per registry, package and tag.
 
-    Of several hashes the one with the newest revision wins, then the greatest.
+    Of several hashes the one with the newest revision wins, then the greatest. Most tags have
+    one hash and need no date: only the others are joined with the revisions, and only the
+    revisions that these name are grouped.
     """
+    by_key = tags.groupBy(*TAG_KEY).agg(
+        F.min("top_hash").alias("__least"),
+        F.max("top_hash").alias("top_hash"),
+        F.bool_or(F.col("top_hash").isNull()).alias("__unset"),
+    )
+    single = ~F.col("__unset") & (F.col("__least") == F.col("top_hash"))
+    unset = F.col("__unset") & F.col("top_hash").isNull()
+    several = by_key.where(~(single | unset))
+    rivals = _hash_join(
+        encode_key(tags, TAG_KEY).distinct(), distinct_keys(several, TAG_KEY), _encoded(TAG_KEY), "left_semi"
+    )
+    rivals = encode_key(decode_key(rivals, TAG_KEY).select(*tags.columns), _REVISION_KEY)
+    named = rivals.select(*_encoded(_REVISION_KEY)).distinct()
     created = (
-        encode_key(revisions.select(*_REVISION_KEY, "timestamp"), _REVISION_KEY)
+        _hash_join(
+            encode_key(revisions.select(*_REVISION_KEY, "timestamp"), _REVISION_KEY),
+            named,
+            _encoded(_REVISION_KEY),
+            "left_semi",
+        )
         .groupBy(*_encoded(_REVISION_KEY))
         .agg(F.max("timestamp").alias("__created"))
     )
     dated = (
-        encode_key(tags, _REVISION_KEY)
-        .distinct()
-        .join(created, _encoded(_REVISION_KEY), "left")
-    )
-    return (
-        decode_key(dated, _REVISION_KEY)
+        decode_key(rivals.join(created, _encoded(_REVISION_KEY), "left"), _REVISION_KEY)
         .groupBy(*TAG_KEY)
         .agg(F.max_by("top_hash", F.struct("__created", "top_hash")).alias("top_hash"))
     )
+    return by_key.where(single | unset).select(*TAG_KEY, "top_hash").unionByName(dated)
 
 
 def changed_tags(chosen: DataFrame, target: DataFrame) -> DataFrame:

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import LATEST, epoch_seconds, epoch_to_timestamp, multihash
 
 
+def is_revision(tag: str = LATEST) -> Column:
+    """Whether a package row is a revision: its timestamp is there and not the tag word."""
+    return F.col("timestamp") != tag
+
+
+def is_tag(tag: str = LATEST) -> Column:
+    return F.col("timestamp") == tag
+
+
 def revision_rows(packages: DataFrame, tag: str = LATEST, on_bad: str = "fail") -> DataFrame:
     """Revisions: package rows whose timestamp is not the tag word.
 
     A NULL timestamp is neither a revision nor a tag. A timestamp that is no
     number fails the job, or is left out with ``on_bad="quarantine"``.
     """
-    is_revision = F.col("timestamp") != tag
     # Guarded as well, since the optimizer may evaluate the cast before the filter.
-    seconds = F.when(is_revision, F.col("timestamp"))
-    rows = packages.where(is_revision)
+    seconds = F.when(is_revision(tag), F.col("timestamp"))
+    rows = packages.where(is_revision(tag))
     if on_bad == "quarantine":
         rows = rows.where(epoch_seconds(seconds, on_bad).isNotNull())
     return rows.select(
@@ -32,7 +40,7 @@ def revision_rows(packages: DataFrame, tag: str = LATEST, on_bad: str = "fail")
 
 def tag_rows(packages: DataFrame, tag: str = LATEST) -> DataFrame:
     """Tags: package rows whose timestamp is the tag word."""
-    return packages.where(F.col("timestamp") == tag).select(
+    return packages.where(is_tag(tag)).select(
         "registry", "pkg_name", F.col("timestamp").alias("tag_name"), "top_hash"
     )
 

@@ -6,7 +6,8 @@ from parcelry.plans.tables import (
     create_targets,
     drop_targets,
     missing_targets,
-    overwrite_rows,
+    overwrite_partitions,
+    replace_rows,
     table_exists,
     table_report,
 )
@@ -20,7 +21,8 @@ __all__ = [
     "create_targets",
     "drop_targets",
     "missing_targets",
-    "overwrite_rows",
+    "overwrite_partitions",
+    "replace_rows",
     "table_exists",
     "table_report",
 ]

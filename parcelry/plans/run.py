@@ -1,13 +1,15 @@
 """Merge the source views of all registries, or some, into the three tables.
 
-One job per target covers all registries of a group. A group that fails is
-repeated by halves, so one bad source fails alone and does not hold up the others.
+One job per target covers all registries of a group. A group that fails for its
+data is repeated by halves, so one bad source fails alone and does not hold up the
+others. Any other failure, such as a full disk, fails the group as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -26,8 +28,9 @@ from parcelry.operators.merge import (
 from parcelry.operators.projections import entry_rows, revision_rows, tag_rows
 from parcelry.plans.tables import (
     append_rows,
-    overwrite_rows,
+    overwrite_partitions,
     partition_columns,
+    replace_rows,
     require_targets,
     required,
     table_name,
@@ -38,10 +41,25 @@ from parcelry.sources.views import Sources
 
 # New keys are broadcast up to this uncompressed size; above it they are joined by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
+_KEY_BYTES = 64  # of a digest, as a row
+
+
+#: What the message of an error holds that comes from the data of some registry.
+DATA_ERRORS = (
+    "CAST_INVALID_INPUT",
+    "USER_RAISED_EXCEPTION",
+    "FAILED_READ_FILE",
+    "PATH_NOT_FOUND",
+    "UNRESOLVED_COLUMN",
+    "FIELD_NOT_FOUND",
+    "TABLE_OR_VIEW_NOT_FOUND",
+    "FileNotFoundException",
+    " is NULL",
+)
 
 
 class TagsNotReplaced(RuntimeError):
-    """Replacing tag partitions failed; the message says where their state is kept."""
+    """Replacing tags failed; nothing may touch the table before someone has looked at it."""
 
 
 @dataclass(frozen=True)
@@ -53,6 +71,7 @@ class Outcome:
     status: str  # "ok", "failed" or "skipped"
     rows: int = 0
     error: str | None = None
+    final: bool = False  # repeating the job is no use, or not safe
 
 
 @dataclass
@@ -80,21 +99,16 @@ class RunReport:
 
     def summary(self) -> dict[str, object]:
         """Totals over registries and targets; a skipped pair ran no query."""
-        queries = self.successful + self.failed
         return {
-            "message": (
-                f"Merge operations completed: {self.successful} tables successful, "
-                f"{self.failed} failed, {queries} total queries"
-            ),
             "num_tables": self.registries,
             "successful_tables": self.successful,
             "failed_tables": self.failed,
             "skipped_tables": self.skipped,
-            "total_queries": queries,
+            "total_queries": self.successful + self.failed,
         }
 
 
-@dataclass(frozen=True)
+@dataclass
 class _Run:
     spark: SparkSession
     sources: Sources
@@ -103,9 +117,12 @@ class _Run:
     tag: str
     on_bad_timestamp: str
     broadcast_bytes: int
+    staging: Staging  # for the whole run
+    moved: list[DataFrame] = field(default_factory=list)  # staged tags, not yet in the table
+    stopped: str | None = None  # why tags are left alone from here on
 
     def source(self, kind: str, registries: Sequence[str]) -> DataFrame:
-        return self.sources.view(kind).where(F.col("registry").isin(*registries))
+        return self.sources.view(kind, registries)
 
     def held(self, target: Target, registries: Sequence[str]) -> DataFrame:
         """Target rows of these registries; names as literals prune its partitions."""
@@ -115,9 +132,10 @@ class _Run:
     def insert_new(self, rows: DataFrame, target: Target, registries: Sequence[str]) -> int:
         """Append the rows whose key the table lacks.
 
-        A rerun mostly meets rows it knows. So only the keys are shuffled to
-        find the new ones; these are staged, and if they fit the broadcast
-        limit the full rows are picked in the scan and never shuffled as a whole.
+        A rerun mostly meets rows it knows. So only digests of the keys are shuffled to find the
+        new ones; these are staged, and pick the full rows: in the scan, without a shuffle, if
+        they fit the broadcast limit, else by a shuffle join. Only the rows picked are made
+        distinct. An empty table lacks every key, which needs no join.
         """
         held = self.held(target, registries)
         if not held.take(1):
@@ -126,10 +144,9 @@ class _Run:
             keys = staging.write(new_keys(rows, held, target.key, null_safe=not self.strict))
             if keys.rows == 0:
                 return 0
-            if keys.bytes <= self.broadcast_bytes:
-                new = rows_with_key(rows, F.broadcast(keys.frame), target.key).distinct()
-            else:
-                new = rows_with_key(rows.distinct(), keys.frame, target.key)
+            fits = keys.rows * _KEY_BYTES <= self.broadcast_bytes
+            wanted = F.broadcast(keys.frame) if fits else keys.frame
+            new = rows_with_key(rows, wanted, target.key).distinct()
             return append_rows(new, target, self.database)
 
     def merge_revisions(self, target: Target, registries: Sequence[str]) -> int:
@@ -145,34 +162,51 @@ class _Run:
         held = self.held(target, registries).where(F.col("tag_name") == self.tag)
         if self.strict:
             return append_rows(tags_to_append(tags, held), target, self.database)
+        if self.stopped:
+            raise TagsNotReplaced(f"not attempted after: {self.stopped}")
         chosen = choose_tags(tags, self.held(REVISION, registries))
-        if not held.take(1):
-            return append_rows(chosen, target, self.database)
+        changed = self.staging.write(changed_tags(chosen, held))
+        if changed.rows == 0:
+            return 0
+        if not partition_columns(self.spark, table_name(target, self.database)):
+            self.moved.append(changed.frame)  # the table is replaced once, at the end of the run
+            return changed.rows
+        # At most one name per registry of this group.
+        touched = [r[0] for r in changed.frame.select("registry").distinct().collect()]
+        replaced = held.where(F.col("registry").isin(*touched))
         with Staging(self.spark) as staging:
-            changed = staging.write(changed_tags(chosen, held))
-            if changed.rows == 0:
-                return 0
-            # At most one name per registry of this group.
-            touched = [r[0] for r in changed.frame.select("registry").distinct().collect()]
-            name = table_name(target, self.database)
-            if partition_columns(self.spark, name):
-                replaced = held.where(F.col("registry").isin(*touched))
-                state = required(replace_tags(replaced, changed.frame), target)
-            else:
-                replaced = self.spark.table(name).select(*target.columns)
-                state = replace_tags(replaced, changed.frame)
-            # Staged and checked in full before the old files go, and kept until
-            # the new ones are there.
+            # Staged and checked in full before the old files go, and kept until the new ones
+            # are there.
+            state = required(replace_tags(replaced, changed.frame), target)
             staged = staging.write(state)
             staging.keep_on_error()
             try:
-                overwrite_rows(staged.frame, target, self.database)
+                overwrite_partitions(staged.frame, target, self.database)
             except (PySparkException, Py4JError) as error:
-                raise TagsNotReplaced(
+                self.stopped = (
                     f"tags of {touched} may be incomplete, their state is in "
                     f"{staging.folder}: {error}"
-                ) from error
-            return changed.rows
+                )
+                raise TagsNotReplaced(self.stopped) from error
+        return changed.rows
+
+    def replace_moved_tags(self, report: "RunReport") -> None:
+        """Put the tags of all groups into a table without partitions, in one replacement."""
+        if not self.moved:
+            return
+        name = table_name(TAG, self.database)
+        changed = reduce(DataFrame.unionByName, self.moved)
+        try:
+            held = self.spark.table(name).select(*TAG.columns)
+            replace_rows(replace_tags(held, changed), TAG, self.database)
+        except (PySparkException, Py4JError) as error:
+            # The table is as it was, so the next run finds the same tags changed.
+            report.outcomes = [
+                replace(o, status="failed", rows=0, error=str(error))
+                if (o.target, o.status) == (TAG.name, "ok") and o.rows
+                else o
+                for o in report.outcomes
+            ]
 
     def step(self, target: Target) -> Callable[[Target, Sequence[str]], int]:
         return {
@@ -185,9 +219,10 @@ class _Run:
         try:
             rows = self.step(target)(target, registries)
         except TagsNotReplaced as error:
-            return [Outcome(target.name, tuple(registries), "failed", error=str(error))]
-        except (PySparkException, Py4JError) as error:
-            if len(registries) > 1:
+            return [Outcome(target.name, tuple(registries), "failed", error=str(error), final=True)]
+        except (PySparkException, Py4JError, ValueError) as error:
+            of_data = any(mark in str(error) for mark in DATA_ERRORS)
+            if len(registries) > 1 and of_data:
                 # By halves: the good ones still share a few large jobs.
                 half = len(registries) // 2
                 halves = registries[:half], registries[half:]
@@ -224,17 +259,21 @@ def consolidate(
     wanted = sources.registries if registries is None else [
         r for r in sources.registries if r in set(registries)
     ]
-    run = _Run(spark, sources, database, strict, tag, on_bad_timestamp, broadcast_bytes)
     report = RunReport(len(wanted))
     size = 1 if isolate else group_size
-    for start in range(0, len(wanted), size):
-        group = wanted[start : start + size]
-        # Revisions before tags: the newest revision decides between two tags.
-        for target in targets:
-            ready = [r for r in group if target.view in sources.kinds[r]]
-            lacking = tuple(r for r in group if target.view not in sources.kinds[r])
-            if lacking:
-                report.outcomes.append(Outcome(target.name, lacking, "skipped"))
-            if ready:
-                report.outcomes.extend(run.attempt(target, ready))
+    with Staging(spark) as staging:
+        run = _Run(
+            spark, sources, database, strict, tag, on_bad_timestamp, broadcast_bytes, staging
+        )
+        for start in range(0, len(wanted), size):
+            group = wanted[start : start + size]
+            # Revisions before tags: the newest revision decides between two tags.
+            for target in targets:
+                ready = [r for r in group if target.view in sources.kinds[r]]
+                lacking = tuple(r for r in group if target.view not in sources.kinds[r])
+                if lacking:
+                    report.outcomes.append(Outcome(target.name, lacking, "skipped"))
+                if ready:
+                    report.outcomes.extend(run.attempt(target, ready))
+        run.replace_moved_tags(report)
     return report

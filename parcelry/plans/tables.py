@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.schemas import TARGETS, Target, empty_frame
+from parcelry.session import delete_folder, quoted
 
 _SLICE = "__slice"
 
@@ -17,11 +19,11 @@ _SLICE = "__slice"
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     """Create the database if it is absent, in a folder of its own if one is given."""
     where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}{where}")
 
 
 def table_name(target: Target, database: str | None) -> str:
-    return f"{database}.{target.name}" if database else target.name
+    return f"{quoted(database)}.{target.name}" if database else target.name
 
 
 def create_target(
@@ -126,6 +128,13 @@ def table_report(
     return names.join(count_rows(spark, database, present), "table_name", "left")
 
 
+def _described(spark: SparkSession, table: str, *wanted: str) -> list[str]:
+    """Values of the table's detailed description, e.g. its location."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    found = {row["col_name"]: row["data_type"] for row in rows}
+    return [found[name] for name in wanted]
+
+
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
     """Names of the partition columns, from the table's description."""
     names = [row["col_name"] for row in spark.sql(f"DESCRIBE TABLE {table}").collect()]
@@ -195,16 +204,39 @@ def _only_given_partitions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-def overwrite_rows(frame: DataFrame, target: Target, database: str | None = None) -> None:
-    """Replace the partitions the rows fall into, or a whole table without partitions.
+def overwrite_partitions(frame: DataFrame, target: Target, database: str | None = None) -> None:
+    """Replace the partitions the rows fall into.
 
-    ``frame`` must not read the table itself; stage it first.
+    The new files are complete before Spark takes the old ones away. ``frame`` must not read
+    the table itself; stage it first.
     """
     spark = frame.sparkSession
     name = table_name(target, database)
-    partitions = partition_columns(spark, name)
-    if partitions:
-        frame = required(frame, target)
-    rows = for_writing(frame, target, partitions).select(*spark.table(name).columns)
+    rows = for_writing(required(frame, target), target, partition_columns(spark, name))
     with _only_given_partitions(spark):
-        rows.write.insertInto(name, overwrite=True)
+        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+
+
+def write_version(frame: DataFrame, target: Target, folder: str, provider: str) -> None:
+    """Write rows as a table's files into a folder of their own."""
+    for_writing(frame, target, []).select(*target.columns).write.format(provider).save(folder)
+
+
+def replace_rows(frame: DataFrame, target: Target, database: str | None = None) -> None:
+    """Replace all rows of a table without partitions; ``frame`` may read the table.
+
+    The rows are written beside the table's folder and the table is then pointed at them, so it
+    holds either its old or its new rows, whatever fails. The old folder goes last.
+    """
+    spark = frame.sparkSession
+    name = table_name(target, database)
+    old, provider = _described(spark, name, "Location", "Provider")
+    new = f"{old.rstrip('/').partition('-version-')[0]}-version-{uuid.uuid4().hex}"
+    try:
+        write_version(frame, target, new, provider)
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{new}'")
+    except Exception:
+        delete_folder(spark, new)
+        raise
+    spark.catalog.refreshTable(name)
+    delete_folder(spark, old)

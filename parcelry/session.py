@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +18,19 @@ def work_folder(spark: SparkSession) -> str:
     Only a local session without ``spark.checkpoint.dir`` gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = folder or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="parcelry-"))
-    return context.getCheckpointDir().rstrip("/")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    """One folder for this process; the session's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="parcelry-")
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -33,6 +39,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def quote(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def quoted(qualified: str) -> str:
+    """A qualified name such as ``catalog.database`` with each part quoted."""
+    return ".".join(map(quote, qualified.split(".")))
+
+
 @dataclass(frozen=True)
 class StagedTable:
     frame: DataFrame

@@ -8,6 +8,7 @@ from parcelry.sources.views import (
     Sources,
     scan_objects,
     scan_packages,
+    sources_from_catalog,
     sources_from_frames,
     sources_from_views,
     union_registries,
@@ -21,6 +22,7 @@ __all__ = [
     "scan_packages",
     "select_registries",
     "skipped_views",
+    "sources_from_catalog",
     "sources_from_frames",
     "sources_from_views",
     "union_registries",

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import VIEW_SUFFIX
+from parcelry.session import quoted
 
 _VIEW_NAME = f"^(.*?)({VIEW_SUFFIX['packages']}|{VIEW_SUFFIX['objects']})$"
 
 
 def list_sources(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Names of all tables and views of a database, temporary views included."""
-    where = f" IN `{database}`" if database else ""
+    where = f" IN {quoted(database)}" if database else ""
     return (
         spark.sql(f"SHOW TABLES{where}")
-        .select(F.col("tableName").alias("name"))
+        .select(F.col("tableName").alias("name"), F.col("isTemporary").alias("temporary"))
         .where(F.col("name").isNotNull())
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from parcelry.functions.columns import VIEW_SUFFIX
 from parcelry.schemas import OBJECTS_VIEW, PACKAGES_VIEW
-from parcelry.sources.discovery import pair_views
+from parcelry.session import quote, quoted
+from parcelry.sources.discovery import list_sources, pair_views
 
 VIEW_SCHEMAS = {"packages": PACKAGES_VIEW, "objects": OBJECTS_VIEW}
 
@@ -48,21 +49,30 @@ def union_registries(views: Mapping[str, DataFrame], kind: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Sources:
-    """Both views of every registry, and which registry has which of them."""
+    """Both views of every registry, and which registry has which of them.
 
-    packages: DataFrame | None
-    objects: DataFrame | None
+    Views are either frames that hold many registries, or ``{registry: view}``; of the latter
+    only those asked for are put together, so a group of a run costs the same however many
+    registries there are.
+    """
+
+    packages: DataFrame | Mapping[str, DataFrame] | None
+    objects: DataFrame | Mapping[str, DataFrame] | None
     kinds: Mapping[str, frozenset[str]]  # registry -> {"packages", "objects"}
 
     @property
     def registries(self) -> list[str]:
         return sorted(self.kinds)
 
-    def view(self, kind: str) -> DataFrame:
-        frame = self.packages if kind == "packages" else self.objects
-        if frame is None:
-            raise ValueError(f"no registry has a {kind} view")
-        return frame
+    def view(self, kind: str, registries: Sequence[str] | None = None) -> DataFrame:
+        """The views of a kind as one frame, of all registries or some."""
+        held = self.packages if kind == "packages" else self.objects
+        if not isinstance(held, DataFrame):
+            wanted = [r for r in held or {} if registries is None or r in set(registries)]
+            if not wanted:
+                raise ValueError(f"no registry has a {kind} view")
+            return union_registries({r: held[r] for r in wanted}, kind)
+        return held if registries is None else held.where(F.col("registry").isin(*registries))
 
 
 def sources_from_frames(
@@ -77,25 +87,59 @@ def sources_from_frames(
     return Sources(packages, objects, {r: frozenset(k) for r, k in registries.items()})
 
 
+class _CatalogViews(Mapping):
+    """Views of a database by registry, looked up when one is asked for."""
+
+    def __init__(self, spark: SparkSession, names: Mapping[str, str]):
+        self.spark, self.names = spark, names
+
+    def __getitem__(self, registry: str) -> DataFrame:
+        return self.spark.table(self.names[registry])
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
+def _paired(names: DataFrame, registry: str | None) -> dict[str, dict[str, str]]:
+    """View names by kind and registry; only names pass through the driver."""
+    found: dict[str, dict[str, str]] = {kind: {} for kind in VIEW_SUFFIX}
+    for pair in pair_views(names, registry).collect():
+        for kind in found:
+            if pair[f"{kind}_view"] is not None:
+                found[kind][pair["registry"]] = pair[f"{kind}_view"]
+    return found
+
+
+def _kinds(found: Mapping[str, Mapping[str, object]]) -> dict[str, frozenset[str]]:
+    registries = {r for views in found.values() for r in views}
+    return {r: frozenset(k for k in found if r in found[k]) for r in sorted(registries)}
+
+
 def sources_from_views(
     spark: SparkSession, views: Mapping[str, DataFrame], registry: str | None = None
 ) -> Sources:
-    """Sources from ``{view name: frame}``, optionally only those of one registry.
+    """Sources from ``{view name: frame}``, optionally only those of one registry."""
+    found = _paired(spark.createDataFrame([(name,) for name in views], "name string"), registry)
+    frames = {kind: {r: views[n] for r, n in names.items()} for kind, names in found.items()}
+    return Sources(frames["packages"], frames["objects"], _kinds(found))
 
-    Only names pass through the driver, one row per registry.
-    """
-    names = spark.createDataFrame([(name,) for name in views], "name string")
-    pairs = pair_views(names, registry).collect()
-    found: dict[str, dict[str, DataFrame]] = {"packages": {}, "objects": {}}
-    for pair in pairs:
-        for kind in found:
-            name = pair[f"{kind}_view"]
-            if name is not None:
-                found[kind][pair["registry"]] = views[name]
-    return Sources(
-        *[union_registries(found[kind], kind) if found[kind] else None for kind in VIEW_SUFFIX],
-        kinds={
-            pair["registry"]: frozenset(k for k in found if pair["registry"] in found[k])
-            for pair in pairs
-        },
-    )
+
+def sources_from_catalog(
+    spark: SparkSession, database: str | None = None, registry: str | None = None
+) -> Sources:
+    """Sources from the views of a database, found by name; temporary views count as well."""
+    listed = list_sources(spark, database)
+    found = _paired(listed, registry)
+    # Temporary views are listed with every database but belong to none.
+    own = {r.name for r in listed.where("temporary").collect()}
+    where = f"{quoted(database)}." if database else ""
+    views = {
+        kind: _CatalogViews(
+            spark, {r: f"{'' if n in own else where}{quote(n)}" for r, n in names.items()}
+        )
+        for kind, names in found.items()
+    }
+    return Sources(views["packages"], views["objects"], _kinds(found))

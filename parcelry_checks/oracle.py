@@ -378,6 +378,55 @@ def oracle_sql() -> dict[str, str]:
             "new_entries",
         ),
         "consolidate_isolated": _with(_MERGED_STATE, *_MERGED),
+        "consolidate_shuffled": _with(_MERGED_STATE, *_MERGED),
+        "consolidate_discovered": _with(_MERGED_STATE, *_MERGED),
+        "consolidate_after_failure": _with(_MERGED_STATE, *_MERGED),
+        "consolidate_bad_registry": _with(
+            f"""select table_name, registry, count(*) as n_rows,
+                       case when registry = '{_ONE}' and table_name <> 'package_entry'
+                            then 'failed' else 'ok' end as status
+                from (
+                  select 'package_revision' as table_name, registry from loaded_revisions
+                  union all
+                  select 'package_revision', registry from new_revisions where registry <> '{_ONE}'
+                  union all
+                  select 'package_tag', registry from loaded_tags where registry = '{_ONE}'
+                  union all select 'package_tag', registry from tags where registry <> '{_ONE}'
+                  union all select 'package_entry', registry from loaded_entries
+                  union all select 'package_entry', registry from new_entries)
+                group by table_name, registry""",
+            "loaded_revisions",
+            "new_revisions",
+            "loaded_tags",
+            "tags",
+            "loaded_entries",
+            "new_entries",
+        ),
+        "consolidate_strict": _with(
+            _state(
+                "select * from loaded_revisions union all select * from new_revisions",
+                """select * from loaded_tags union all select * from new_tags_strict
+                   union all
+                   select s.* from tags s where exists (
+                     select 1 from (select * from loaded_tags
+                                    union all select * from new_tags_strict) t
+                     where t.registry = s.registry and t.pkg_name = s.pkg_name
+                       and t.tag_name = s.tag_name and t.top_hash <> s.top_hash)""",
+                """select * from loaded_entries union all select * from new_entries_strict
+                   union all
+                   select distinct * from entries
+                   where registry is null or top_hash is null or logical_key is null
+                      or metadata is null""",
+            ),
+            "loaded_revisions",
+            "new_revisions",
+            "loaded_tags",
+            "new_tags_strict",
+            "tags",
+            "loaded_entries",
+            "new_entries_strict",
+            "entries",
+        ),
         "consolidate_rerun": _with(
             """select 'package_revision' as table_name, count(*) as first_run, 0::bigint as second_run
                from new_revisions
@@ -395,9 +444,7 @@ def oracle_sql() -> dict[str, str]:
             "new_entries",
         ),
         "run_summary": _with(
-            """select 'Merge operations completed: ' || ok || ' tables successful, 0 failed, '
-                      || ok || ' total queries' as message,
-                      registries as num_tables, ok as successful_tables,
+            """select registries as num_tables, ok as successful_tables,
                       0::bigint as failed_tables, 1::bigint as skipped_tables, ok as total_queries
                from (select count(distinct registry) as registries,
                             3 * count(distinct registry) - 1 as ok from pk)""",

@@ -24,7 +24,14 @@ from parcelry.operators.merge import (
     tags_to_append,
     upsert_tags,
 )
-from parcelry.operators.projections import bad_timestamps, entry_rows, revision_rows, tag_rows
+from parcelry.operators.projections import (
+    bad_timestamps,
+    entry_rows,
+    is_revision,
+    is_tag,
+    revision_rows,
+    tag_rows,
+)
 from parcelry.plans.run import consolidate
 from parcelry.plans.tables import (
     append_rows,
@@ -42,6 +49,7 @@ from parcelry.sources.views import (
     Sources,
     scan_objects,
     scan_packages,
+    sources_from_catalog,
     sources_from_frames,
     sources_from_views,
 )
@@ -181,11 +189,10 @@ def multihash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    is_revision = F.col("timestamp") != "latest"
-    seconds = F.when(is_revision, F.col("timestamp"))
+    seconds = F.when(is_revision(), F.col("timestamp"))
     return (
         fx.packages(spark, sf_dir)
-        .where(is_revision)
+        .where(is_revision())
         .select(
             "top_hash",
             seconds.cast("bigint").alias("seconds"),
@@ -294,6 +301,71 @@ def consolidate_all_check(spark: SparkSession, sf_dir: str, isolate: bool = Fals
     return state(spark, database)
 
 
+def consolidate_shuffled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As at scale, where the new keys are too many to be broadcast."""
+    database = loaded_database(spark, sf_dir, partitioned=False)
+    consolidate(spark, all_sources(spark, sf_dir), database, broadcast_bytes=0)
+    return state(spark, database)
+
+
+def consolidate_discovered_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From views that are found in the catalog by their names."""
+    made = []
+    for kind, frame in (("packages", fx.packages(spark, sf_dir)), ("objects", fx.objects(spark, sf_dir))):
+        for registry in fx.registry_kinds(spark, sf_dir):
+            own = frame.where(F.col("registry") == registry).drop("registry")
+            made.append(f"{registry}_{kind}-view")
+            own.createOrReplaceTempView(f"`{made[-1]}`")
+    database = loaded_database(spark, sf_dir, partitioned=False)
+    try:
+        consolidate(spark, sources_from_catalog(spark), database)
+    finally:
+        for name in made:
+            spark.catalog.dropTempView(name)
+    return state(spark, database)
+
+
+def _failing_sources(spark: SparkSession, sf_dir: str) -> Sources:
+    """One registry's packages cannot be read."""
+    broken = F.col("registry") == _ONE_REGISTRY
+    packages = fx.packages(spark, sf_dir).withColumn(
+        "top_hash", F.when(broken, F.raise_error(F.lit("lost file"))).otherwise(F.col("top_hash"))
+    )
+    return sources_from_frames(
+        packages, fx.objects(spark, sf_dir), fx.registry_kinds(spark, sf_dir)
+    )
+
+
+def consolidate_bad_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows written for each target and registry, and whether the job failed."""
+    database = loaded_database(spark, sf_dir, partitioned=False)
+    report = consolidate(spark, _failing_sources(spark, sf_dir), database)
+    status = spark.createDataFrame(
+        [(o.target, r, o.status) for o in report.outcomes for r in o.registries],
+        "table_name string, registry string, status string",
+    )
+    held = state(spark, database).groupBy("table_name", "registry").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+    return status.join(held, ["table_name", "registry"])
+
+
+def consolidate_after_failure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run in which a registry fails, and the same run once more when it can be read."""
+    database = loaded_database(spark, sf_dir, partitioned=False)
+    consolidate(spark, _failing_sources(spark, sf_dir), database)
+    consolidate(spark, all_sources(spark, sf_dir), database)
+    return state(spark, database)
+
+
+def consolidate_strict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that compare keys by plain equality."""
+    database = loaded_database(spark, sf_dir, partitioned=False)
+    for _ in range(2):
+        consolidate(spark, all_sources(spark, sf_dir), database, strict=True)
+    return state(spark, database)
+
+
 def consolidate_one_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = loaded_database(spark, sf_dir)
     consolidate(spark, all_sources(spark, sf_dir), database, [_ONE_REGISTRY])
@@ -320,7 +392,7 @@ def run_summary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = consolidate(spark, sources, new_database(spark, False)).summary()
     return spark.createDataFrame(
         [tuple(summary.values())],
-        "message string, num_tables bigint, successful_tables bigint, failed_tables bigint, "
+        "num_tables bigint, successful_tables bigint, failed_tables bigint, "
         "skipped_tables bigint, total_queries bigint",
     )
 
@@ -409,8 +481,8 @@ def queries() -> dict[str, Check]:
         "project_tags": _tags,
         "project_entries": _entries,
         "epoch_to_timestamp": epoch_check,
-        "filter_revisions": lambda s, d: fx.packages(s, d).where(F.col("timestamp") != "latest"),
-        "filter_tags": lambda s, d: fx.packages(s, d).where(F.col("timestamp") == "latest"),
+        "filter_revisions": lambda s, d: fx.packages(s, d).where(is_revision()),
+        "filter_tags": lambda s, d: fx.packages(s, d).where(is_tag()),
         "multihash": multihash_check,
         "quarantine_timestamps": lambda s, d: bad_timestamps(fx.broken_packages(s, d)),
         "quarantine_revisions": lambda s, d: revision_rows(
@@ -437,6 +509,11 @@ def queries() -> dict[str, Check]:
         "missing_tables": missing_tables_check,
         "consolidate_all": consolidate_all_check,
         "consolidate_isolated": lambda s, d: consolidate_all_check(s, d, isolate=True),
+        "consolidate_shuffled": consolidate_shuffled_check,
+        "consolidate_discovered": consolidate_discovered_check,
+        "consolidate_bad_registry": consolidate_bad_registry_check,
+        "consolidate_after_failure": consolidate_after_failure_check,
+        "consolidate_strict": consolidate_strict_check,
         "consolidate_one": consolidate_one_check,
         "consolidate_rerun": consolidate_rerun_check,
         "run_summary": run_summary_check,

@@ -1,4 +1,5 @@
 import re
+import uuid
 from collections import Counter
 
 import pytest
@@ -6,12 +7,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from parcelry import tag_listing, tag_lookup
-from parcelry.plans import run
+from parcelry.plans import run, tables
 from parcelry.plans.run import consolidate
-from parcelry.plans.tables import drop_targets, table_name
-from parcelry.schemas import ENTRY, REVISION, TAG, TARGETS
-from parcelry.session import delete_folder
-from parcelry.sources.views import sources_from_frames
+from parcelry.plans.tables import create_database, drop_targets, table_name
+from parcelry.schemas import ENTRY, OBJECTS_VIEW, PACKAGES_VIEW, REVISION, TAG, TARGETS
+from parcelry.session import delete_folder, work_folder
+from parcelry.sources.views import sources_from_catalog, sources_from_frames
 from tests.conftest import rows
 
 pytestmark = pytest.mark.usefixtures("interpreted")
@@ -60,7 +61,6 @@ def test_running_again_adds_nothing(spark, make_database, make_sources, partitio
     first = consolidate(spark, sources, database)
     assert written(first) == [6, 4, 10]
     assert first.summary() == {
-        "message": "Merge operations completed: 6 tables successful, 0 failed, 6 total queries",
         "num_tables": 2,
         "successful_tables": 6,
         "failed_tables": 0,
@@ -86,25 +86,79 @@ def test_a_tag_moves(spark, make_database, make_sources, partitioned):
     ]
 
 
-def test_a_failed_overwrite_keeps_the_staged_tags(
-    spark, make_database, make_sources, monkeypatch
+def fail_after_writing(spark, monkeypatch):
+    """Replacing tags fails when the new files are there, and the old ones, were they replaced
+    in place, are not."""
+    write = tables.write_version
+
+    def fail(frame, target, folder, provider):
+        write(frame, target, folder, provider)
+        raise PySparkException("no space left")
+
+    monkeypatch.setattr(tables, "write_version", fail)
+
+
+@pytest.mark.parametrize("options", [{}, {"isolate": True}, {"group_size": 2}])
+def test_a_failed_replacement_loses_no_tags(
+    spark, make_database, make_sources, monkeypatch, options
 ):
     database = make_database(partitioned=False)
-    consolidate(spark, make_sources(views("r1", "h1")), database)
+    start = make_sources(views("r1", "h1") | views("r2", "h1") | views("r3", "h1"))
+    consolidate(spark, start, database, **options)
+    before = contents(spark, database)
+    moved = make_sources(views("r1", "h2") | views("r2", "h2") | views("r3", "h1"))
+    with monkeypatch.context() as patch:
+        fail_after_writing(spark, patch)
+        report = consolidate(spark, moved, database, **options)
+    failed = [o for o in report.outcomes if o.status == "failed"]
+    assert {o.target for o in failed} == {"package_tag"}
+    assert {r for o in failed for r in o.registries} >= {"r1", "r2"}
+    assert report.rows("package_tag") == 0 and "no space left" in failed[0].error
+    assert contents(spark, database) == before
+    assert consolidate(spark, moved, database, **options).rows("package_tag") == 2
+    assert [t[0] for t in contents(spark, database)["package_tag"]] == ["r1", "r1", "r2", "r2", "r3", "r3"]
+
+
+def test_no_tags_are_touched_after_a_failed_overwrite(
+    spark, make_database, make_sources, monkeypatch
+):
+    database = make_database()
+    consolidate(spark, make_sources(views("r1", "h1") | views("r2", "h1")), database)
+    before = contents(spark, database)["package_tag"]
 
     def fail(*_):
         raise PySparkException("no space left")
 
-    monkeypatch.setattr(run, "overwrite_rows", fail)
-    report = consolidate(spark, make_sources(views("r1", "h2")), database)
+    monkeypatch.setattr(run, "overwrite_partitions", fail)
+    moved = make_sources(views("r1", "h2") | views("r2", "h2"))
+    report = consolidate(spark, moved, database, isolate=True)
     failed = [o for o in report.outcomes if o.status == "failed"]
-    assert [o.target for o in failed] == ["package_tag"]
+    assert [(o.target, o.registries, o.final) for o in failed] == [
+        ("package_tag", ("r1",), True),
+        ("package_tag", ("r2",), True),
+    ]
+    assert "not attempted" in failed[1].error
+    assert contents(spark, database)["package_tag"] == before
     folder = re.search(r"state is in (\S+):", failed[0].error).group(1)
-    kept = spark.read.parquet(f"{folder}/2").select(*TAG.columns)
+    kept = spark.read.parquet(f"{folder}/1").select(*TAG.columns)
     assert rows(kept) == [("r1", "a/a", "latest", "h2"), ("r1", "b/b", "latest", "h3")]
     delete_folder(spark, folder)
 
 
+def test_only_data_errors_are_narrowed_down(spark, make_database, make_sources, monkeypatch):
+    database = make_database(partitioned=False)
+    calls = []
+
+    def fail(self, frame, target, registries):
+        calls.append(registries)
+        raise PySparkException("no space left on device")
+
+    monkeypatch.setattr(run._Run, "insert_new", fail)
+    sources = make_sources(views("r1") | views("r2") | views("r3"))
+    report = consolidate(spark, sources, database, targets=[REVISION])
+    assert len(calls) == 1 and report.failed == 3
+
+
 def test_strict_run_repeats_what_it_cannot_compare(spark, make_database, make_sources):
     database = make_database(partitioned=False)
     consolidate(spark, make_sources(views("r1", "h1")), database, strict=True)
@@ -146,6 +200,33 @@ def test_ways_to_run_agree(spark, make_database, make_sources):
     assert all(result == results[0] for result in results[1:])
 
 
+def test_views_of_a_catalog(spark, make_database):
+    found = f"source_{uuid.uuid4().hex}"
+    create_database(spark, found, f"{work_folder(spark)}/{found}")
+    for name, data in views("r-2", "h1").items():
+        schema = PACKAGES_VIEW if "packages" in name else OBJECTS_VIEW
+        # The catalog used here allows no dash in a table's name, but in a view's.
+        spark.createDataFrame(data, schema).createOrReplaceTempView(f"`{name}`")
+    database = make_database(partitioned=False)
+    consolidate(spark, sources_from_catalog(spark, found), database)
+    assert {row[0] for row in contents(spark, database)["package_entry"]} == {"r-2"}
+    for name in views("r-2"):
+        spark.catalog.dropTempView(name)
+    spark.sql(f"DROP DATABASE `{found}` CASCADE")
+
+
+def test_a_group_costs_the_same_with_many_registries(spark, make_sources):
+    def plan_size(n):
+        views_of = {
+            f"r{i}_packages-view": [package("a/a", "h1", "1600000000")] for i in range(n)
+        }
+        sources = make_sources(views_of)
+        frame = sources.view("packages", ["r1", "r2"])
+        return len(frame._jdf.queryExecution().analyzed().toString())
+
+    assert plan_size(60) == plan_size(3)
+
+
 def test_only_the_registries_asked_for(spark, make_database, make_sources):
     database = make_database(partitioned=False)
     sources = make_sources(views("r1") | views("r2"))
@@ -212,9 +293,7 @@ def test_frames_may_hold_more_registries_than_asked_for(spark, make_database, ma
 
 def test_no_registries(spark, make_database):
     report = consolidate(spark, sources_from_frames(None, None, {}), make_database(targets=TARGETS))
-    assert report.summary()["message"] == (
-        "Merge operations completed: 0 tables successful, 0 failed, 0 total queries"
-    )
+    assert set(report.summary().values()) == {0}
 
 
 def test_targets_must_exist(spark, make_database, make_sources):

@@ -44,4 +44,5 @@ def test_query(spark, connection, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(__spark_entry__.queries())

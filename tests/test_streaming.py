@@ -2,12 +2,15 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from parcelry.plans import tables
 from parcelry.plans.tables import table_name
 from parcelry.schemas import REVISION
 from parcelry.streaming import (
     EVENT_SCHEMA,
+    expired,
     matching_events,
     merge_on_events,
     read_events,
@@ -62,8 +65,12 @@ def test_events_in_the_put_form(spark):
         [(SOURCE, "package-revision", detail, "default")],
         "Source string, DetailType string, Detail string, EventBusName string",
     )
-    found = matching_events(unpack_bus_entries(entries), SOURCE)
+    unpacked = unpack_bus_entries(entries)
+    assert unpacked.schema.simpleString() == EVENT_SCHEMA.simpleString()
+    found = matching_events(unpacked, SOURCE)
     assert rows(found.select("detail.bucket", "detail.topHash")) == [("r1", "h2")]
+    assert found.where(expired(datetime(2020, 1, 1))).count() == 0
+    assert found.where(expired(datetime(2100, 1, 1))).count() == 1
 
 
 @pytest.mark.parametrize(
@@ -88,12 +95,18 @@ def test_routes(spark):
         event(time="2025-04-25T11:59:59Z", name="old"),
         event(time="2025-04-25T12:00:00Z", name="day"),
         event(time="2025-04-26T114651", name="unreadable"),
+        event(time="2025-04-25T14:00:00+02:00", name="day there"),
+        event(time="2025-04-25T13:59:59+02:00", name="old there"),
+        event(time="2025-04-25T12:00:00", name="without zone"),
     ]
     found = routed_events(frame(spark, events), NOW)
     assert {(r["id"], r["route"], r["reason"]) for r in found.collect()} == {
         ("old", "dead_letter", "expired"),
         ("day", "deliver", None),
         ("unreadable", "deliver", None),
+        ("day there", "deliver", None),
+        ("old there", "dead_letter", "expired"),
+        ("without zone", "deliver", None),
     }
 
 
@@ -123,8 +136,7 @@ def stream(spark, make_database, make_sources, tmp_path):
             database=database,
             dead_letters=str(tmp_path / "dead"),
             checkpoint=str(tmp_path / checkpoint),
-            now=lambda: NOW,
-            **options,
+            **{"now": lambda: NOW, **options},
         )
         query.awaitTermination()
         letters = spark.read.parquet(str(tmp_path / "dead"))
@@ -154,6 +166,32 @@ def test_events_of_a_failing_registry_become_dead_letters(stream, make_sources):
     assert stream(events, sources, retries=1) == ({"r1"}, 3, [("b", "retries exhausted")])
 
 
+def test_a_failed_replacement_is_repeated_without_loss(stream, make_sources, spark, monkeypatch):
+    start = make_sources(views("r1", "h1") | views("r2", "h1"))
+    stream([event(None)], start)
+    write, calls = tables.write_version, []
+
+    def fail_once(frame, target, folder, provider):
+        write(frame, target, folder, provider)
+        calls.append(folder)
+        if len(calls) == 1:
+            raise PySparkException("no space left")
+
+    monkeypatch.setattr(tables, "write_version", fail_once)
+    moved = make_sources(views("r1", "h2") | views("r2", "h1"))
+    assert stream([event("r1", name="m")], moved) == ({"r1", "r2"}, 6, [])
+    assert len(calls) == 2
+
+
+def test_letters_are_dropped_after_their_time(stream, make_sources):
+    sources = make_sources(views("r1"))
+    old = event("r1", time="2025-04-20T00:00:00Z", name="old")
+    assert stream([old], sources)[2] == [("old", "expired")]
+    later = event("r1", time="2025-05-20T00:00:00Z", name="later")
+    found = stream([later], sources, now=lambda: datetime(2025, 6, 1))
+    assert found[2] == [("later", "expired")]
+
+
 def test_streamed_frames_are_filtered(spark, tmp_path):
     events = read_events(spark, str(tmp_path), files_per_batch=5)
     assert events.isStreaming

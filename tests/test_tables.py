@@ -3,8 +3,10 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from parcelry.plans import tables
 from parcelry.plans.tables import (
     append_rows,
     count_rows,
@@ -13,7 +15,8 @@ from parcelry.plans.tables import (
     create_targets,
     drop_targets,
     missing_targets,
-    overwrite_rows,
+    overwrite_partitions,
+    replace_rows,
     partition_columns,
     require_targets,
     table_exists,
@@ -108,12 +111,32 @@ def test_overwrite_leaves_other_partitions(spark, make_database):
     database = make_database()
     append_rows(tag_frame(spark, [("r", "a", "1"), ("r", "b", "1"), ("s", "a", "1")]), TAG, database)
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    overwrite_rows(tag_frame(spark, [("r", "a", "2")]), TAG, database)
+    overwrite_partitions(tag_frame(spark, [("r", "a", "2")]), TAG, database)
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
     held = spark.table(table_name(TAG, database)).select(*TAG.columns)
     assert rows(held) == [("r", "a", "latest", "2"), ("s", "a", "latest", "1")]
 
 
+def test_replacing_a_table_switches_its_folder(spark, make_database, monkeypatch):
+    database = make_database(partitioned=False)
+    append_rows(tag_frame(spark, [("r", "a", "1"), ("r", "b", "1")]), TAG, database)
+    name = table_name(TAG, database)
+    held = spark.table(name).select(*TAG.columns)
+    replace_rows(held.where("pkg_name = 'a'"), TAG, database)
+    assert rows(spark.table(name).select(*TAG.columns)) == [("r", "a", "latest", "1")]
+
+    def fail_late(frame, target, folder, provider):
+        frame.write.parquet(folder)
+        raise PySparkException("no space left")
+
+    monkeypatch.setattr(tables, "write_version", fail_late)
+    with pytest.raises(PySparkException, match="no space"):
+        replace_rows(tag_frame(spark, [("r", "a", "2")]), TAG, database)
+    assert rows(spark.table(name).select(*TAG.columns)) == [("r", "a", "latest", "1")]
+    append_rows(tag_frame(spark, [("r", "c", "3")]), TAG, database)
+    assert spark.table(name).count() == 2
+
+
 def entries(spark, count, hot=0):
     """``count`` entries with a physical key each, and ``hot`` that share one."""
     return spark.range(count + hot).select(
