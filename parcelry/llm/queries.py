@@ -155,7 +155,3 @@ def queries() -> dict[str, Query]:
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
