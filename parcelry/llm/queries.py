@@ -109,8 +109,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The result reads the archives, which therefore stay until the folder is cleared.
     folder = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
-    records = warc.resolve_revisits(table(spark, sf_dir, "pages"))
-    warc.write_archives(records, folder, date="2024-01-01T00:00:00Z")
+    with Staging(spark) as staging:
+        records = warc.resolve_revisits(table(spark, sf_dir, "pages"), staging)
+        warc.write_archives(records, folder, date="2024-01-01T00:00:00Z")
     return warc.read_archives(spark, folder, payload=False).drop("payload")
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelry.session import Staging
+
 END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -37,41 +39,75 @@ def base32_sha1(payload: Column) -> Column:
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``payload``, ``n_bytes``, ``digest`` and ``refers_to``.
+def resolve_revisits(pages: DataFrame, staging: Staging, min_bytes: int = 0) -> DataFrame:
+    """``pages`` (page_id, url, html) with ``payload``, ``n_bytes``, ``digest``, ``revisit`` and
+    ``refers_to``.
 
     ``refers_to`` is the id of the response that a revisit repeats, NULL for a response. Payloads
-    of fewer than ``min_bytes`` bytes are all responses. A NULL html is the empty payload. Equal
-    rows stay apart: one of them is the response. A NULL id is larger than all others.
-
-    Only digests, ids and lengths are grouped, with partial sums in every task, so many copies of
-    a payload do not meet in one task; the join back is one that Spark may split.
+    of fewer than ``min_bytes`` bytes are all responses. A NULL html is the empty payload. A NULL
+    id is larger than all others; of equal ids the smaller URL goes first. Rows that are equal
+    in all three stay apart, and one of them is the response.
+
+    Only headers are grouped, with partial sums in every task, so many copies of a payload do
+    not meet in one task. The decisions on repeated digests are joined back with the payloads:
+    Spark may broadcast them if they are few, and split hot digests if they are not. They are
+    read from the staging folder, so use the result before the staging ends.
     """
     records = pages.select(
-        "page_id",
-        "url",
-        F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
-        F.monotonically_increasing_id().alias("row"),
+        "page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     ).select(
-        "*", F.octet_length("payload").cast("long").alias("n_bytes"),
+        "*",
+        F.octet_length("payload").cast("long").alias("n_bytes"),
         base32_sha1(F.col("payload")).alias("digest"),
     )
-    rank = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "row")
-    firsts = (
-        records.where(F.col("n_bytes") >= min_bytes)
-        .select("digest", rank.alias("rank"))
-        .groupBy("digest")
-        .agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("copies"))
+    header = ["page_id", "url", "digest", "n_bytes"]
+    heads = staging.write(records.select(*header).where(F.col("n_bytes") >= min_bytes)).frame
+    order = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url")
+    firsts = staging.write(
+        heads.groupBy(*header)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("digest", "n_bytes")
+        .agg(F.min_by(F.struct("page_id", "url", "n"), order).alias("x"), F.sum("n").alias("copies"))
         .where("copies > 1")
-    )
-    repeats = F.col("first.row") != F.col("row")
-    return (
-        records.join(firsts, "digest", "left")
-        .withColumn("revisit", F.coalesce(repeats & (F.col("n_bytes") >= min_bytes), F.lit(False)))
         .select(
-            "page_id", "url", "payload", "n_bytes", "digest", "revisit",
-            F.when(F.col("revisit"), F.col("first.page_id")).alias("refers_to"),
+            "digest",
+            F.col("n_bytes").alias("first_bytes"),
+            F.col("x.page_id").alias("first_id"),
+            F.col("x.url").alias("first_url"),
+            F.col("x.n").alias("equal"),
         )
+    ).frame
+    joined = records.join(firsts, "digest", "left")
+    repeated = F.col("equal").isNotNull()
+    first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+
+    def resolved(frame: DataFrame, revisit: Column) -> DataFrame:
+        return frame.withColumn("revisit", revisit).select(
+            *header,
+            "payload",
+            "revisit",
+            F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"),
+        )
+
+    doubled = firsts.where("equal > 1")
+    if doubled.isEmpty():
+        return resolved(joined, repeated & ~first)
+    # Equal rows compete for being the response: one takes a payload, the others need none.
+    several = repeated & first & (F.col("equal") > 1)
+    ones = joined.where(several).dropDuplicates(["digest"])
+    others = doubled.select(
+        F.col("first_id").alias("page_id"),
+        F.col("first_url").alias("url"),
+        "digest",
+        F.col("first_bytes").alias("n_bytes"),
+        F.lit(None).cast("binary").alias("payload"),
+        "first_id",
+        F.explode(F.array_repeat(F.lit(1), (F.col("equal") - 1).cast("int"))),
+    )
+    return (
+        resolved(joined.where(~several | ~repeated), repeated & ~first)
+        .unionByName(resolved(ones, F.lit(False)))
+        .unionByName(resolved(others, F.lit(True)))
     )
 
 

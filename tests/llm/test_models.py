@@ -1,0 +1,134 @@
+"""Quality references, toxicity and languages, on small tables and held-out rows."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parcelry.llm import language, quality, toxicity
+from parcelry.session import Staging
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_counts_against_brute_force(seed):
+    rng = random.Random(seed)
+    text = "".join(
+        rng.choice(["a", "b", "É#", "c|"]) + rng.choice([" ", "\n", "\t", "  ", " ", "\n\n"])
+        for _ in range(rng.randint(0, 60))
+    )
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, again = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    none = quality.References([], np.zeros((0, quality.N_CLASSES)), [], [])
+    found = quality.judge(text, none, quality.Limits())
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    assert found[:7] == (
+        len(words), sum(map(len, words)), symbols, again, len(covered), failed, not failed,
+    )
+
+
+def test_divergence():
+    p, q = np.array([0.5, 0.5, 0]), np.array([0, 0, 1.0])
+    assert quality.js_distance(p, p) == 0 and quality.js_distance(p, q) == pytest.approx(1)
+    middle = quality.js_distance(np.array([1.0, 0, 0]), p)
+    assert middle == pytest.approx(0.5579, abs=1e-4)
+
+
+def test_clean_texts_stay_and_junk_goes(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = docs.select(
+        "doc_id", quality.quality(F.col("text"), quality.fit_references(docs)).alias("q")
+    ).join(labels, "doc_id")
+    rows = judged.where("NOT q.base_failed").collect()
+    clean = [r.q.kept for r in rows if r.quality == 1]
+    junk = [r.q.kept for r in rows if r.quality == 0]
+    assert sum(clean) >= 0.98 * len(clean) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_folding():
+    assert toxicity.fold("1D10T, ídıot i​diot ΙDΙΟΤ іdіоt i.d") == ["idiot"] * 5 + ["i", "d"]
+
+
+def _score(text, lexicon):
+    words = toxicity.fold(text)
+    weight, hits = toxicity._evidence(words, lexicon.automaton())
+    return toxicity._score(weight, len(words)), hits
+
+
+def test_scores():
+    lexicon = toxicity.Lexicon({"trash": 5.0, "idiot": 5.0, "idiotic": 6.0}, frozenset({"trash can"}))
+    assert _score("take it to the trash can now", lexicon) == (0.0, 0)
+    assert _score("you trash can and trash", lexicon)[1] == 1
+    assert _score("unidiot bidiot", lexicon) == (0.0, 0)
+    assert _score("1diotic", lexicon)[1] == 1
+    short, long = (_score("idiot " + "word " * n, lexicon)[0] for n in (10, 20000))
+    assert short >= 0.7 > long
+    assert _score("", lexicon) == (0.0, 0)
+
+
+def test_learnt_lexicon(spark):
+    rng = random.Random(3)
+    plain = [f"w{i}ord" for i in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        words, toxic = rng.sample(plain, 40), int(i % 5 == 0)
+        if toxic:
+            words[rng.randrange(40)] = rng.choice(["Vilestone", "v1lesort", "vilest"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(0, None), (None, 1)], "doc_id long, toxic int")
+    with Staging(spark) as staging:
+        lexicon = toxicity.learn_lexicon(frame, marks, staging)
+    assert set(lexicon.weights) == {"viies"}
+    found = frame.select(toxicity.toxicity(F.col("text"), lexicon)["predicted"]).collect()
+    assert [r[0] for r in found] == [toxic for _, toxic in labels]
+
+
+def test_held_out_labels_do_not_matter(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn(
+        "toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    )
+    with Staging(spark) as staging:
+        assert toxicity.learn_lexicon(docs, labels, staging) == toxicity.learn_lexicon(docs, turned, staging)
+
+
+def test_languages_of_held_out_rows(docs):
+    model = language.learn_languages(docs)
+    held = docs.where(language.held_out(F.col("doc_id")))
+    rows = held.select("lang", language.languages(F.col("text"), model).alias("x")).collect()
+    right = sum(r.lang == r.x.lang for r in rows)
+    assert right >= 0.98 * len(rows)
+
+
+def test_mixtures(docs):
+    model = language.learn_languages(docs)
+    texts = {
+        r.lang: r.text[:1500]
+        for r in docs.where("length(text) > 2000").orderBy("doc_id").select("lang", "text").collect()
+    }
+    for one, other in (("en", "de"), ("es", "fr")):
+        langs, shares = language.infer(texts[one] + " " + texts[other][:700], model)
+        assert langs[:2] == [one, other] and 0.2 < shares[1] < 0.45
+        assert language.infer(texts[one], model)[0] == [one]
+    for text in (None, "", "123 ...", "​"):
+        assert language.infer(text, model) == ([], [])
+    assert language.infer("abc", language.Languages([], np.zeros((language.BUCKETS, 0)))) == ([], [])
