@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from parcelry.llm.text import slices
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a rank file: a line has the token in base64 and its rank."""
@@ -102,7 +105,7 @@ class Encoder:
     bound is reached, so memory stays the same however long the input.
     """
 
-    def __init__(self, vocabulary: Vocabulary, held: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, held: int = 250_000):
         self.vocabulary = vocabulary
         self.held = held
         self._ranks = vocabulary.ranks
@@ -269,7 +272,7 @@ def tokenized(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Colu
     @F.arrow_udf("n_tokens long, ids binary, decoded binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value)
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             ids = [encoder.encode(t or "") for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays(
                 [

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cached_property
 from itertools import repeat
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelry.llm.text import _WORD_BYTES, plain_words
+from parcelry.llm.text import _WORD_BYTES, plain_words, sliced, slices
 
 WINDOW = 10
 #: Broadcast at most so many bytes of windows at once; a larger benchmark is taken in parts.
@@ -93,7 +94,6 @@ def benchmark_windows(
     NULL item's windows count, without an item to name.
     """
 
-    @F.arrow_udf("array<string>")
     def windows(column: pa.Array) -> pa.Array:
         found = []
         for value in column.to_pylist():
@@ -108,7 +108,7 @@ def benchmark_windows(
 
     return (
         benchmark.select(
-            F.col(item).cast("string").alias("item"), F.explode(windows(text)).alias("words")
+            F.col(item).cast("string").alias("item"), F.explode(F.arrow_udf("array<string>")(sliced(windows))(text)).alias("words")
         )
         .groupBy("words")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
@@ -136,7 +136,6 @@ def hits(spark: SparkSession, text: Column, part: Windows, before: Column | None
     """
     shared = spark.sparkContext.broadcast(part)
 
-    @F.arrow_udf("n_words long, spans array<struct<start:int,n:int>>, items array<string>")
     def scan(column: pa.Array, earlier: pa.Array) -> pa.Array:
         part = shared.value
         counts, spans, items = [], [], []
@@ -158,7 +157,14 @@ def hits(spark: SparkSession, text: Column, part: Windows, before: Column | None
             names=["n_words", "spans", "items"],
         )
 
-    return scan(text, F.lit(None).cast("string") if before is None else before)
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, earlier in batches:
+            yield from map(scan, slices(column), slices(earlier))
+
+    result = "n_words long, spans array<struct<start:int,n:int>>, items array<string>"
+    return F.arrow_udf(result)(apply)(
+        text, F.lit(None).cast("string") if before is None else before
+    )
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("n", pa.int32())])

@@ -11,12 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.llm.text import sliced, slices
+
 UNDETERMINED = "und"
 N = 3
 BUCKETS = 1 << 15
@@ -96,7 +99,6 @@ def languages(text: Column, model: Languages, fit: Fit = Fit()) -> Column:
     """``lang`` (the largest share; ``und`` for NULL or a text without letters), ``score`` (its
     share; 0 for ``und``), ``langs`` and ``shares`` (all that were chosen), as a struct."""
 
-    @F.arrow_udf("lang string, score double, langs array<string>, shares array<double>")
     def inferred(column: pa.Array) -> pa.Array:
         found = [infer(t, model, fit) for t in column.to_pylist()]
         return pa.StructArray.from_arrays(
@@ -109,7 +111,8 @@ def languages(text: Column, model: Languages, fit: Fit = Fit()) -> Column:
             names=["lang", "score", "langs", "shares"],
         )
 
-    return inferred(text)
+    result = "lang string, score double, langs array<string>, shares array<double>"
+    return F.arrow_udf(result)(sliced(inferred))(text)
 
 
 def held_out(doc: Column) -> Column:
@@ -144,7 +147,7 @@ def learn_languages(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for name, value in zip(*(c.to_pylist() for c in batch.columns)):
                 buckets, counts = _grams(value)
                 seen.setdefault(name, np.zeros(BUCKETS, np.int64))[buckets] += counts

@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelry.llm.text import sliced, slices
+
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -85,20 +88,19 @@ def fit_references(
     references, and then only the plain rules decide.
     """
 
-    @F.arrow_udf("array<double>")
     def class_shares(column: pa.Array) -> pa.Array:
         found = [_class_counts(t.encode()) for t in column.to_pylist()]
         return pa.array([(x / x.sum()).tolist() if x.any() else None for x in found], _SHARES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[Counter, list[int]]] = {}
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen, total = totals.setdefault(name, (Counter(), [0]))
                 words = _letters(value.encode())
                 seen.update(words)
                 total[0] += len(words)
-                if len(seen) > 500_000:  # rare words, of which a task may see very many
+                if len(seen) > 200_000:  # rare words, of which a task may see very many
                     for word in [w for w, k in seen.items() if k < share / 10 * total[0]]:
                         del seen[word]
         found = [
@@ -116,7 +118,7 @@ def fit_references(
         "lang IS NOT NULL AND text IS NOT NULL"
     )
     medians = (
-        texts.select("lang", class_shares("text").alias("shares"))
+        texts.select("lang", F.arrow_udf("array<double>")(sliced(class_shares))("text").alias("shares"))
         .groupBy("lang")
         .agg(*(F.percentile_approx(F.col("shares")[i], 0.5, 1000) for i in range(N_CLASSES)))
         .orderBy("lang")
@@ -256,14 +258,10 @@ def quality(text: Column, references: References, limits: Limits = Limits()) ->
     size (languages times common words) and go along with the function.
     """
 
-    @F.arrow_udf(_RESULT)
     def judged(column: pa.Array) -> pa.Array:
         found = [judge(t or "", references, limits) for t in column.to_pylist()]
         return pa.StructArray.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*found), _FIELDS.values())]
-            if found
-            else [pa.array([], k) for k in _FIELDS.values()],
-            names=list(_FIELDS),
+            [pa.array(c, k) for c, k in zip(zip(*found), _FIELDS.values())], names=list(_FIELDS)
         )
 
-    return judged(text)
+    return F.arrow_udf(_RESULT)(sliced(judged))(text)

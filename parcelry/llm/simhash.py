@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.llm.components import components
-from parcelry.llm.text import spaced_words
+from parcelry.llm.text import sliced, spaced_words
 from parcelry.session import Staging
 
 SHINGLE = 3
@@ -27,7 +27,6 @@ MAX_DISTANCE = 3
 HALF = 32
 #: A half shared by more fingerprints than this is cut into cells of about that many.
 CELL = 2048
-_BLOCK = 1 << 22  # pairs compared at once
 
 
 def fingerprint_of(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -58,7 +57,7 @@ def _fingerprints(column: pa.Array) -> pa.Array:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint as a signed 64-bit integer; NULL and texts without words give zero."""
-    return F.arrow_udf("long")(_fingerprints)(text)
+    return F.arrow_udf("long")(sliced(_fingerprints))(text)
 
 
 def hex_digits(fingerprints: Column) -> Column:
@@ -148,16 +147,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stored = np.add.reduceat(own.astype(np.int64), starts)
         found = []
         for g in np.flatnonzero((stored > 0) & (ends - starts > 1)).tolist():
-            x, mine = fp[starts[g] : ends[g]], own[starts[g] : ends[g]]
-            table = x[mine].view(np.uint64)
-            seekers = x.view(np.uint64)
-            step = max(1, _BLOCK // len(table))
-            for at in range(0, len(seekers), step):
-                differ = np.bitwise_count(seekers[at : at + step, None] ^ table[None, :])
-                for i, j in zip(*np.nonzero(differ <= MAX_DISTANCE)):
-                    a, b = int(seekers[at + i]), int(table[j])
-                    if a != b and forest.join(a, b):
-                        found.append((a, b))
+            x, mine = fp[starts[g] : ends[g]].view(np.uint64), own[starts[g] : ends[g]]
+            table = x[mine]
+            trees = np.array([forest.root(a) for a in table.tolist()], np.uint64)
+            for a in x.tolist():
+                near = np.bitwise_count(table ^ np.uint64(a)) <= MAX_DISTANCE
+                mine_now = forest.root(a)
+                # Once a dense group is one tree, hardly any entry is looked at again.
+                for j in np.flatnonzero(near & (trees != np.uint64(mine_now))).tolist():
+                    if forest.join(a, int(table[j])):
+                        found.append((a, int(table[j])))
+                if near.any():
+                    top = np.uint64(forest.root(a))
+                    trees[near] = top
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema)
 

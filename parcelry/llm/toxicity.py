@@ -16,12 +16,14 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.llm.text import slices
 from parcelry.session import Staging
 
 #: Signs and letters of other scripts that look like Latin letters. i, l and 1 are one letter.
@@ -113,7 +115,7 @@ def toxicity(text: Column, lexicon: Lexicon) -> Column:
     @F.arrow_udf("score double, n_hits long, predicted int")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             scores, hits = [], []
             for value in batch.to_pylist():
                 words = fold(value or "")
@@ -147,7 +149,7 @@ def _counts(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             for value in batch.column(0).to_pylist():
                 found = _beginnings(value)
                 seen.update(found if wanted is None else found & wanted)
