@@ -20,10 +20,11 @@ from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelry.llm.text import slices
+from parcelry.llm.text import sliced, slices, spaced_words
 from parcelry.session import Staging
 
 #: Signs and letters of other scripts that look like Latin letters. i, l and 1 are one letter.
@@ -139,6 +140,16 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _marks(column: pa.Array) -> pa.Array:
+    """The least hash of three words in a row, which near copies mostly share."""
+    found = []
+    for value in column.to_pylist():
+        words = spaced_words(value)
+        runs = (b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+        found.append(min(map(xxhash.xxh64_intdigest, runs)) >> 1)
+    return pa.array(found, pa.int64())
+
+
 def _beginnings(value: str) -> set[str]:
     words = set(fold(value))
     return {w[:n] for w in words for n in LENGTHS if len(w) >= n}
@@ -181,30 +192,38 @@ def learn_lexicon(
     staging: Staging,
     sample: int = 6000,
     least: int = 3,
-    odds: float = 2.0,
+    odds: float = 3.5,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Lexicon:
     """The lexicon of labelled texts.
 
-    At most ``sample`` texts of either label are learnt from, chosen by a hash of their id, which
-    also bounds the sizes of all that is counted. An entry is in ``least`` toxic texts or more,
+    At most ``sample`` toxic and four times as many clean texts are learnt from, chosen by a hash
+    of their id, which also bounds the sizes of all that is counted. Of near copies, whose every
+    word would seem to stand out, one counts. An entry is in ``least`` toxic texts or more,
     its log odds are at least ``odds``, and it stands out by more than the chance that some
-    entry of so many does. Of entries that begin alike the one in most toxic texts stays, and of
-    several equal in that the longest. A longer beginning that is in clean texts only is an
-    exception. Rows held out, and labels or texts that are NULL, are not learnt from; an id with
+    entry of so many does. Of entries that begin alike the one that tells most stays, and of
+    several equal in that the longest. Rows held out, and labels or texts that are NULL, are not learnt from; an id with
     several labels counts as toxic if one of them is. Without rows the lexicon is empty.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    chosen = [
-        usable.where(F.col("toxic") == label).orderBy(*order).limit(sample) for label in (1, 0)
-    ]
+    sizes = {1: sample, 0: 4 * sample}
+    labelled = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+
+    def some(label: int) -> DataFrame:
+        # About twice as many by their hash, so that few are sorted, then as many as are wanted.
+        part = min(1.0, 2 * sizes[label] / labelled.get(label, 1))
+        near = usable.where((F.col("toxic") == label) & (place < int(part * (1 << 40))))
+        return near.orderBy(place, "doc_id").limit(sizes[label])
+
+    chosen = [some(label) for label in (1, 0)]
     texts = staging.write(
         docs.select("doc_id", "text")
         .where("text IS NOT NULL")
-        .join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")  # 2 * sample rows
-        .select("toxic", "text")
+        .join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")  # of bounded size
+        .select("toxic", "text", F.arrow_udf("long")(sliced(_marks))("text").alias("mark"))
+        .dropDuplicates(["toxic", "mark"])
     ).frame
     n_of = {r.toxic: r[1] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n_of.get(1, 0), n_of.get(0, 0)
@@ -220,11 +239,12 @@ def learn_lexicon(
     for entry, t in toxic.items():
         c = clean.get(entry, 0)
         weight = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if weight >= odds and (not n_clean or _likelihood_ratio(t, c, share) >= enough):
-            found[entry] = weight
+        gain = _likelihood_ratio(t, c, share) if n_clean else 2.0 * t
+        if weight >= odds and (not n_clean or gain >= enough):
+            found[entry] = (weight, gain)
     weights: dict[str, float] = {}
-    for entry in sorted(found, key=lambda e: (-toxic[e], -len(e), e)):
+    for entry in sorted(found, key=lambda e: (-found[e][1], -len(e), e)):
         if not any(entry.startswith(x) or x.startswith(entry) for x in weights):
-            weights[entry] = found[entry]
+            weights[entry] = found[entry][0]
     harmless = {" ".join(fold(x)) for x in exceptions}
     return Lexicon(weights, frozenset(harmless))
