@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import LATEST
+from parcelry.operators.merge import hash_join
 
 LISTING_COLUMNS = ("size", "logical_key", "physical_key", "registry", "multihash")
 
@@ -27,17 +28,20 @@ def tag_listing(
     """Entries of the tagged revisions, for one package or for all of them.
 
     Both sides carry ``registry``, so a filter on it prunes the partitions of
-    both. The join is on the hash: Spark broadcasts the tags if they are small
-    by its own size check, and otherwise splits a revision with very many
-    entries, of which only the entry side is large.
+    both. Spark broadcasts the tags if they are small by its own size check, and
+    otherwise splits a revision with very many entries, also if the tags are an
+    aggregate over the join columns.
     """
     wanted = tags.where(F.col("tag_name") == tag)
     if registry is not None:
         wanted = wanted.where(F.col("registry") == registry)
     if pkg_name is not None:
         wanted = wanted.where(F.col("pkg_name") == pkg_name)
-    listing = entries.select(*LISTING_COLUMNS, "top_hash").join(
-        wanted.select("registry", "top_hash"), ["registry", "top_hash"]
+    listing = hash_join(
+        entries.select(*LISTING_COLUMNS, "top_hash"),
+        wanted.select("registry", "top_hash"),
+        ["registry", "top_hash"],
+        "inner",
     )
     return _smallest_first(listing.select(*LISTING_COLUMNS))
 

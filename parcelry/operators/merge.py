@@ -51,7 +51,7 @@ def _encoded(key: Sequence[str]) -> list[str]:
     return [*key, _NULLS]
 
 
-def _hash_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+def hash_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     """Join on the key with its hash in front.
 
     Spark cuts a skewed left side into several tasks, but only if both sides
@@ -99,7 +99,7 @@ def new_rows(
     """
     known = _known_digests(target, key, null_safe)
     digested = source.withColumn(_DIGEST, _digest(key))
-    return _hash_join(digested, known, [_DIGEST], "left_anti").drop(_DIGEST).distinct()
+    return hash_join(digested, known, [_DIGEST], "left_anti").drop(_DIGEST).distinct()
 
 
 def new_keys(
@@ -117,7 +117,7 @@ def new_keys(
 def rows_with_key(source: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Source rows whose key is among ``keys`` (as made by ``new_keys``)."""
     digested = source.withColumn(_DIGEST, _digest(key))
-    return _hash_join(digested, keys, [_DIGEST], "left_semi").select(*source.columns)
+    return hash_join(digested, keys, [_DIGEST], "left_semi").select(*source.columns)
 
 
 def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:
     )
     differs = (F.col("top_hash") != F.col("__least")) | (F.col("top_hash") != F.col("__greatest"))
     return (
-        _hash_join(tags.distinct(), held, TAG_KEY, "left")
+        hash_join(tags.distinct(), held, TAG_KEY, "left")
         .where(F.col("__unset").isNull() | F.col("__unset") | differs)
         .select(*tags.columns)
     )
@@ -155,13 +155,13 @@ def choose_tags(tags: DataFrame, revisions: DataFrame) -> DataFrame:
     single = ~F.col("__unset") & (F.col("__least") == F.col("top_hash"))
     unset = F.col("__unset") & F.col("top_hash").isNull()
     several = by_key.where(~(single | unset))
-    rivals = _hash_join(
+    rivals = hash_join(
         encode_key(tags, TAG_KEY).distinct(), distinct_keys(several, TAG_KEY), _encoded(TAG_KEY), "left_semi"
     )
     rivals = encode_key(decode_key(rivals, TAG_KEY).select(*tags.columns), _REVISION_KEY)
     named = rivals.select(*_encoded(_REVISION_KEY)).distinct()
     created = (
-        _hash_join(
+        hash_join(
             encode_key(revisions.select(*_REVISION_KEY, "timestamp"), _REVISION_KEY),
             named,
             _encoded(_REVISION_KEY),
@@ -197,7 +197,7 @@ def changed_tags(chosen: DataFrame, target: DataFrame) -> DataFrame:
 def replace_tags(target: DataFrame, tags: DataFrame) -> DataFrame:
     """The target with its rows for the keys of ``tags`` replaced by ``tags``."""
     replaced = distinct_keys(tags, TAG_KEY)
-    kept = _hash_join(encode_key(target, TAG_KEY), replaced, _encoded(TAG_KEY), "left_anti")
+    kept = hash_join(encode_key(target, TAG_KEY), replaced, _encoded(TAG_KEY), "left_anti")
     return decode_key(kept, TAG_KEY).select(*tags.columns).unionByName(tags)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.schemas import TARGETS, Target, empty_frame
-from parcelry.session import delete_folder, quoted
+from parcelry.session import Staging, delete_folder, quoted
 
 _SLICE = "__slice"
 
@@ -43,10 +43,10 @@ def create_target(
     if file_format == "parquet":
         writer = writer.option("compression", "snappy")
     if partitioned:
-        buckets, column = target.bucket_by[0]
-        writer = writer.partitionBy(*target.partition_by).bucketBy(buckets, column)
-        if target.sort_by:
-            writer = writer.sortBy(*target.sort_by)
+        writer = writer.partitionBy(*target.partition_by)
+        if target.bucket_by:
+            buckets, column = target.bucket_by[0]
+            writer = writer.bucketBy(buckets, column).sortBy(*target.sort_by)
     writer.mode("ignore").saveAsTable(table_name(target, database))
 
 
@@ -165,6 +165,10 @@ def for_writing(frame: DataFrame, target: Target, partitions: Sequence[str]) ->
     """
     if not partitions:
         return frame.hint("rebalance", *target.key)
+    if not target.bucket_by:
+        return frame.hint("rebalance", *partitions).sortWithinPartitions(
+            *partitions, *target.sort_by
+        )
     buckets, column = target.bucket_by[0]
     return (
         frame.withColumn(_SLICE, F.pmod(F.hash(column), F.lit(buckets)))
@@ -217,6 +221,20 @@ def overwrite_partitions(frame: DataFrame, target: Target, database: str | None
         rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
 
 
+def compact(
+    spark: SparkSession, target: Target, registry: str, database: str | None = None
+) -> None:
+    """Write the partitions of one registry anew, in few files.
+
+    Their rows are staged first, and stay staged if the replacement fails.
+    """
+    held = spark.table(table_name(target, database)).where(F.col("registry") == registry)
+    with Staging(spark) as staging:
+        staged = staging.write(held.select(*target.columns))
+        staging.keep_on_error()
+        overwrite_partitions(staged.frame, target, database)
+
+
 def write_version(frame: DataFrame, target: Target, folder: str, provider: str) -> None:
     """Write rows as a table's files into a folder of their own."""
     for_writing(frame, target, []).select(*target.columns).write.format(provider).save(folder)

@@ -150,4 +150,7 @@ ENTRY = Target(
 # Entry layout for read-mostly catalogs: a lookup of one revision opens one bucket of 64.
 ENTRY_BY_TOP_HASH = replace(ENTRY, bucket_by=((64, "top_hash"),))
 
+# Entry layout for frequent small merges: a merge writes few files, as no bucket needs its own.
+ENTRY_SORTED = replace(ENTRY, bucket_by=())
+
 TARGETS = (REVISION, TAG, ENTRY)

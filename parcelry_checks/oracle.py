@@ -324,6 +324,8 @@ def oracle_sql() -> dict[str, str]:
         "tag_listing": _with(_LISTING, "entries", "tags"),
         "tag_listing_package": _with(_LISTING + _ONE_PACKAGE, "entries", "tags", "cust"),
         "tag_lookup": _with(_LISTING + _ONE_PACKAGE, "entries", "tags", "cust"),
+        "tag_lookup_resolved": _with(_LISTING + _ONE_PACKAGE, "entries", "tags", "cust"),
+        "compact_entries": _all("entries"),
         # tables
         "create_partitioned": _with("select distinct * from revisions", "revisions"),
         "create_empty": _all("tags"),

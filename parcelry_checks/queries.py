@@ -35,6 +35,7 @@ from parcelry.operators.projections import (
 from parcelry.plans.run import consolidate
 from parcelry.plans.tables import (
     append_rows,
+    compact,
     count_rows,
     create_database,
     create_targets,
@@ -42,7 +43,16 @@ from parcelry.plans.tables import (
     table_name,
     table_report,
 )
-from parcelry.schemas import ENTRY, OBJECTS_VIEW, REVISION, TAG, TARGETS, Target
+from parcelry.schemas import (
+    ENTRY,
+    ENTRY_BY_TOP_HASH,
+    ENTRY_SORTED,
+    OBJECTS_VIEW,
+    REVISION,
+    TAG,
+    TARGETS,
+    Target,
+)
 from parcelry.session import work_folder
 from parcelry.sources.discovery import pair_views, select_registries, skipped_views
 from parcelry.sources.views import (
@@ -230,16 +240,33 @@ def listing_package_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_listing(_entries(spark, sf_dir), _tags(spark, sf_dir), registry, package)
 
 
-def tag_lookup_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tag_lookup_check(
+    spark: SparkSession, sf_dir: str, layout: Target = ENTRY, resolve: bool = False
+) -> DataFrame:
     registry, package = one_package(spark, sf_dir)
     database = new_database(spark)
-    append_rows(_entries(spark, sf_dir), ENTRY, database)
+    drop_targets(spark, database, [ENTRY])
+    create_targets(spark, database, [layout])
+    append_rows(_entries(spark, sf_dir), layout, database)
     append_rows(_tags(spark, sf_dir), TAG, database)
     return tag_lookup(
-        read(spark, database, ENTRY), read(spark, database, TAG), registry, package
+        read(spark, database, ENTRY), read(spark, database, TAG), registry, package, resolve=resolve
     )
 
 
+def compact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in the layout without buckets, added in two parts, one registry compacted."""
+    database = new_database(spark)
+    drop_targets(spark, database, [ENTRY])
+    create_targets(spark, database, [ENTRY_SORTED])
+    entries = _entries(spark, sf_dir)
+    early = F.col("logical_key") < "line/3"
+    for part in (entries.where(early), entries.where(~early)):
+        append_rows(part, ENTRY_SORTED, database)
+    compact(spark, ENTRY_SORTED, _ONE_REGISTRY, database)
+    return read(spark, database, ENTRY)
+
+
 # --- tables
 
 
@@ -501,6 +528,8 @@ def queries() -> dict[str, Check]:
         "tag_listing": lambda s, d: tag_listing(_entries(s, d), _tags(s, d)),
         "tag_listing_package": listing_package_check,
         "tag_lookup": tag_lookup_check,
+        "tag_lookup_resolved": lambda s, d: tag_lookup_check(s, d, ENTRY_BY_TOP_HASH, True),
+        "compact_entries": compact_check,
         "create_partitioned": create_partitioned_check,
         "create_empty": create_empty_check,
         "append_rows": append_rows_check,

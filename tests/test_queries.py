@@ -8,22 +8,6 @@ from parcelry_checks.oracle import oracle_sql
 from parcelry_checks.queries import drop_databases, queries
 
 SF = "/root/testdata/sf0.001"
-# These write whole tables, file by file; the operators in them have tests of their own.
-WRITING = {
-    "append_rows",
-    "consolidate_all",
-    "consolidate_isolated",
-    "consolidate_one",
-    "consolidate_rerun",
-    "count_probe",
-    "create_partitioned",
-    "missing_tables",
-    "partition_layout",
-    "run_summary",
-    "stream_dead_letters",
-    "stream_merge",
-    "tag_lookup",
-}
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +15,7 @@ def connection():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize(
-    "name",
-    [pytest.param(n, marks=pytest.mark.whole_run) if n in WRITING else n for n in queries()],
-)
+@pytest.mark.parametrize("name", queries())
 def test_query(spark, connection, name):
     try:
         assert difference(queries()[name](spark, SF), connection, oracle_sql()[name]) is None
