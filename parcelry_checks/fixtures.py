@@ -18,6 +18,7 @@ from parcelry.functions import zoneless
 LOADED_UNTIL = datetime(1998, 1, 1)
 EVENT_SOURCE = "org.example.packages"
 EVENTS_ASOF = datetime(2024, 1, 15)
+SILENT = "asia"
 LOG_ASOF = datetime(2024, 1, 31)
 LOG_MINUTES = 7 * 24 * 60
 
@@ -231,8 +232,12 @@ def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package events. Those of HOUSEHOLD customers name no registry."""
+    """Package events. Those of HOUSEHOLD customers name no registry, those of the others of
+    ``SILENT`` name one that is not known, so no event names ``SILENT`` itself."""
     kind = F.col("event_type")
+    bucket = F.when(
+        F.col("registry") == SILENT, F.concat(F.lit("former-"), F.col("registry"))
+    ).otherwise(F.col("registry"))
     detail_type = (
         F.when(kind.isin("click", "error"), "package-revision")
         .when(kind == "purchase", "package-tag")
@@ -243,7 +248,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     detail = F.struct(
         F.lit("0.1").alias("version"),
         change.otherwise("deleted").alias("type"),
-        F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.col("registry")).alias("bucket"),
+        F.when(F.col("c_mktsegment") != "HOUSEHOLD", bucket).alias("bucket"),
         F.col("pkg_name").alias("handle"),
         F.sha2(F.col("props"), 256).alias("topHash"),
     )

@@ -135,7 +135,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
                strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as time, date_trunc('second', ts) as sent,
                case when value < 10 then 'created' when value < 40 then 'updated'
                     else 'deleted' end as type,
-               case when c_mktsegment <> 'HOUSEHOLD' then registry end as bucket,
+               case when c_mktsegment = 'HOUSEHOLD' then null
+                    when registry = 'asia' then 'former-asia' else registry end as bucket,
                pkg_name as handle, sha256(props) as top_hash
         from events join cust on user_id = c_custkey"""),
     "matching": (("ev",), """
@@ -215,6 +216,9 @@ _SEVERITY = """
 _MERGED_STATE = _state(
     "select * from all_revisions", "select * from tags", "select * from all_entries"
 )
+#: What events that are not too old name; "asia" is never among it.
+_NAMED = """select bucket from matching
+            where bucket is not null and sent >= timestamp '2024-01-14'"""
 _MERGED = ("all_revisions", "tags", "all_entries")
 
 
@@ -465,8 +469,10 @@ def oracle_sql() -> dict[str, str]:
             "matching",
         ),
         "event_registries_named": _with(
-            "select distinct bucket as registry from matching where bucket is not null",
+            "select distinct bucket as registry from matching "
+            "where bucket in (select registry from cust)",
             "matching",
+            "cust",
         ),
         "dead_letter_split": _with(
             """select id, time,
@@ -476,7 +482,35 @@ def oracle_sql() -> dict[str, str]:
                from matching""",
             "matching",
         ),
+        "dead_letters_retained": _with(
+            "select id, time from matching where sent >= timestamp '2024-01-15' - interval 14 day",
+            "matching",
+        ),
+        "stream_retries": _with(
+            f"""select id, time, bucket, case when sent < timestamp '2024-01-14' then 'expired'
+                                             else 'retries exhausted' end as reason
+                from matching
+                where sent < timestamp '2024-01-14' or bucket is null or bucket = '{_ONE}'""",
+            "matching",
+        ),
         "stream_merge": _with(_MERGED_STATE, *_MERGED),
+        "stream_merge_named": _with(
+            _state(
+                f"""select * from loaded_revisions
+                    union all select * from new_revisions where registry in ({_NAMED})""",
+                f"""select * from loaded_tags where registry not in ({_NAMED})
+                    union all select * from tags where registry in ({_NAMED})""",
+                f"""select * from loaded_entries
+                    union all select * from new_entries where registry in ({_NAMED})""",
+            ),
+            "loaded_revisions",
+            "new_revisions",
+            "loaded_tags",
+            "tags",
+            "loaded_entries",
+            "new_entries",
+            "matching",
+        ),
         "stream_dead_letters": _with(
             "select id, time, bucket, 'expired' as reason from matching "
             "where sent < timestamp '2024-01-14'",

@@ -68,6 +68,7 @@ from parcelry.streaming import (
     merge_on_events,
     read_events,
     registries_to_refresh,
+    retained,
     routed_events,
 )
 from parcelry_checks import fixtures as fx
@@ -455,19 +456,33 @@ def dead_letter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("id", "time", "route", "reason")
 
 
-def run_stream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def retained_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As if every event had become a dead letter when it was sent."""
+    sent = F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    letters = _matching(spark, sf_dir).withColumn("dead_at", sent)
+    return retained(letters, fx.EVENTS_ASOF).select("id", "time")
+
+
+def run_stream(
+    spark: SparkSession,
+    sf_dir: str,
+    events: DataFrame | None = None,
+    load: Callable[[SparkSession, str], Sources] = all_sources,
+    **options,
+) -> tuple[str, str]:
     """Run the event-driven merge to its end; the database and the dead-letter folder."""
     inbox, letters = new_folder(spark, "events"), new_folder(spark, "dead-letters")
-    fx.events(spark, sf_dir).write.json(inbox)
+    (fx.events(spark, sf_dir) if events is None else events).write.json(inbox)
     database = loaded_database(spark, sf_dir, partitioned=False)
     query = merge_on_events(
         read_events(spark, inbox),
-        lambda session: all_sources(session, sf_dir),
+        lambda session: load(session, sf_dir),
         event_source=fx.EVENT_SOURCE,
         database=database,
         dead_letters=letters,
         checkpoint=new_folder(spark, "stream"),
         now=lambda: fx.EVENTS_ASOF,
+        **options,
     )
     query.awaitTermination()
     return database, letters
@@ -477,6 +492,18 @@ def stream_merge_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state(spark, run_stream(spark, sf_dir)[0])
 
 
+def stream_merge_named_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only events that name a registry, so the one that none names stays as it was."""
+    events = fx.events(spark, sf_dir).where(F.col("detail.bucket").isNotNull())
+    return state(spark, run_stream(spark, sf_dir, events)[0])
+
+
+def stream_retries_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry fails in every attempt."""
+    letters = run_stream(spark, sf_dir, load=_failing_sources, retries=1)[1]
+    return spark.read.parquet(letters).select("id", "time", "detail.bucket", "reason")
+
+
 def stream_dead_letters_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = spark.read.parquet(run_stream(spark, sf_dir)[1])
     return letters.select("id", "time", "detail.bucket", "reason")
@@ -550,7 +577,10 @@ def queries() -> dict[str, Check]:
         "event_registries": lambda s, d: event_registries_check(s, d, False),
         "event_registries_named": lambda s, d: event_registries_check(s, d, True),
         "dead_letter_split": dead_letter_check,
+        "dead_letters_retained": retained_check,
         "stream_merge": stream_merge_check,
+        "stream_merge_named": stream_merge_named_check,
+        "stream_retries": stream_retries_check,
         "stream_dead_letters": stream_dead_letters_check,
         "log_recent": _log_window,
         "log_severity": lambda s, d: logs.with_severity(fx.log_lines(s, d)),
