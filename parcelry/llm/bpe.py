@@ -105,7 +105,7 @@ class Encoder:
     bound is reached, so memory stays the same however long the input.
     """
 
-    def __init__(self, vocabulary: Vocabulary, held: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, held: int = 150_000):
         self.vocabulary = vocabulary
         self.held = held
         self._ranks = vocabulary.ranks
