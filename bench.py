@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 from parcelry import consolidate, tag_listing, tag_lookup
 from parcelry.operators.merge import new_rows, tags_to_append, upsert_tags
 from parcelry.operators.projections import entry_rows, revision_rows, tag_rows
-from parcelry.plans.tables import append_rows, create_target, drop_targets, table_name
-from parcelry.schemas import ENTRY, ENTRY_BY_TOP_HASH, REVISION, TAG
+from parcelry.plans.tables import (
+    append_rows,
+    compact,
+    create_target,
+    drop_targets,
+    table_name,
+)
+from parcelry.schemas import ENTRY, ENTRY_BY_TOP_HASH, ENTRY_SORTED, REVISION, TAG
 from parcelry.session import delete_folder
 from parcelry.sources.views import sources_from_frames
 from parcelry_checks import fixtures as fx
@@ -74,6 +80,14 @@ def main() -> None:
     timed("first_load", lambda: consolidate(spark, before, database))
     timed("increment", lambda: consolidate(spark, now, database))
     timed("rerun", lambda: consolidate(spark, now, database))
+    # The same with entries in the layout for small merges.
+    small = new_database(spark)
+    drop_targets(spark, small, [ENTRY])
+    create_target(spark, ENTRY_SORTED, small)
+    sorted_targets = (REVISION, TAG, ENTRY_SORTED)
+    timed("sorted_first_load", lambda: consolidate(spark, before, small, targets=sorted_targets))
+    timed("sorted_increment", lambda: consolidate(spark, now, small, targets=sorted_targets))
+    timed("sorted_compact", lambda: compact(spark, ENTRY_SORTED, registry, small))
     entries = spark.table(table_name(ENTRY, database))
     tags = spark.table(table_name(TAG, database))
     revisions = spark.table(table_name(REVISION, database))
