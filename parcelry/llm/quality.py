@@ -46,15 +46,17 @@ class Limits:
 
     ``class_distance`` and ``word_distance`` hold for long texts. A short text strays by chance:
     with n samples over k bins the divergence expected is about (k - 1) / (8 n ln 2) bits, and
-    ``chance`` times that is allowed in addition. Texts under ``min_chars`` or ``min_words``
-    have no distance taken.
+    ``chance`` times that is allowed in addition. However short, a text has to be nearer to the
+    common words than ``of_none`` times the distance of a text that has none of them. Texts
+    under ``min_chars`` or ``min_words`` have no distance taken.
     """
 
     min_words: int = 50
     max_repeated: float = 0.5
     min_chars: int = 100
     class_distance: float = 0.17
-    word_distance: float = 0.47
+    word_distance: float = 0.3
+    of_none: float = 0.95
     chance: float = 2.0
 
 
@@ -68,6 +70,11 @@ class References:
     shares: list[np.ndarray]
 
 
+def without_common(shares: np.ndarray) -> float:
+    """The word distance of a text that has none of the common words."""
+    return js_distance(np.append(np.zeros(len(shares) - 1), 1.0), shares)
+
+
 def _letters(data: bytes) -> list[bytes]:
     return data.translate(_TO_LETTERS).split()
 
@@ -214,7 +221,9 @@ def judge(text: str, references: References, limits: Limits) -> tuple:
         if by_word is not None:
             k = np.array([len(q) for q in references.shares])
             slack = limits.chance * (k - 1) / (8 * len(letters) * np.log(2))
-            excess = np.maximum(excess, np.array(by_word) - np.sqrt(limits.word_distance**2 + slack))
+            most = limits.of_none * np.array([without_common(q) for q in references.shares])
+            allowed = np.minimum(np.sqrt(limits.word_distance**2 + slack), most)
+            excess = np.maximum(excess, np.array(by_word) - allowed)
         nearest = int(np.argmin(excess))
     kept = not failed and (nearest is None or excess[nearest] <= 0)
     return (

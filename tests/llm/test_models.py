@@ -62,6 +62,18 @@ def test_clean_texts_stay_and_junk_goes(spark, docs):
     assert sum(clean) >= 0.98 * len(clean) and sum(junk) <= 0.1 * len(junk)
 
 
+@pytest.mark.parametrize("n", [50, 100, 400, 3000])
+def test_texts_without_common_words_go(spark, docs, n):
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    references = quality.fit_references(docs)
+    rng = random.Random(n)
+    invented = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(n)]
+    clean = max((r.text for r in docs.where("lang = 'en'").join(good, "doc_id").collect()), key=len).split()[:n]
+    limits = quality.Limits(class_distance=1)
+    assert not quality.judge(" ".join(invented), references, limits)[6]
+    assert quality.judge(" ".join(clean), references, limits)[6]
+
+
 def test_folding():
     assert toxicity.fold("1D10T, ídıot i​diot ΙDΙΟΤ іdіоt i.d") == ["idiot"] * 5 + ["i", "d"]
 
