@@ -84,14 +84,13 @@ def _class_counts(data: bytes) -> np.ndarray:
 
 
 def fit_references(
-    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = 64, share: float = 1e-3
+    docs: DataFrame, text: str = "text", lang: str = "lang", common: int = 64, held: int = 200_000
 ) -> References:
     """References from all texts with a language.
 
     The share of a character class is the median over the documents, as junk would shift a
-    mean. Words are counted by task; a task passes on the words that make up at least
-    ``share`` of a language's words there, at most 1 / ``share`` for a language, so that a count
-    is too low by less than that share. NULL texts and languages are left out; no rows give no
+    mean. Words are counted exactly, whatever task they are in: a task passes on what it has
+    counted whenever it holds ``held`` distinct words, and the parts are added. NULL texts and languages are left out; no rows give no
     references, and then only the plain rules decide.
     """
 
@@ -100,26 +99,23 @@ def fit_references(
         return pa.array([(x / x.sum()).tolist() if x.any() else None for x in found], _SHARES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, tuple[Counter, list[int]]] = {}
+        seen: dict[str, Counter] = {}
+
+        def passed_on() -> pa.RecordBatch:
+            found = [(name, w, k) for name, words in seen.items() for w, k in words.items()]
+            seen.clear()
+            columns = list(zip(*found)) or [(), (), ()]
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], _COUNTS)
+
         for batch in chain.from_iterable(map(slices, batches)):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen, total = totals.setdefault(name, (Counter(), [0]))
+                counts = seen.setdefault(name, Counter())
                 words = _letters(value.encode())
-                seen.update(words)
-                total[0] += len(words)
-                if len(seen) > 200_000:  # rare words, of which a task may see very many
-                    for word in [w for w, k in seen.items() if k < share / 10 * total[0]]:
-                        del seen[word]
-        found = [
-            (name, word, k)
-            for name, (seen, total) in totals.items()
-            for word, k in [
-                (None, total[0]),
-                *((w, k) for w, k in seen.items() if k >= share * total[0]),
-            ]
-        ]
-        columns = list(zip(*found)) or [(), (), ()]
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], _COUNTS)
+                counts.update(words)
+                counts[None] += len(words)
+                if sum(map(len, seen.values())) > held:
+                    yield passed_on()
+        yield passed_on()
 
     texts = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"

@@ -74,6 +74,21 @@ def test_texts_without_common_words_go(spark, docs, n):
     assert quality.judge(" ".join(clean), references, limits)[6]
 
 
+def test_references_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    # "rare" is below a thousandth of the words wherever it is, and yet among the commonest.
+    texts = [" ".join(f"w{rng.getrandbits(60):x}".translate(str.maketrans("0123456789", "ghijklmnop"))
+                      for _ in range(1500)) + " rare often often often" for _ in range(12)]
+    frame = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string")
+    expected = Counter(w for t in texts for w in t.encode().split())
+    for parts in (1, 5):
+        for held in (1000, 200_000):
+            found = quality.fit_references(frame.repartition(parts), common=2, held=held)
+            assert found.words == [{b"often": 0, b"rare": 1}]
+            total = sum(expected.values())
+            assert found.shares[0].tolist() == pytest.approx([36 / total, 12 / total, 1 - 48 / total])
+
+
 def test_folding():
     assert toxicity.fold("1D10T, ídıot i​diot ΙDΙΟΤ іdіоt i.d") == ["idiot"] * 5 + ["i", "d"]
 
