@@ -79,6 +79,43 @@ NAMES = {
     "zpl-2.1": ("zope", r"zope public licen[cs]e"),
 }
 
+#: Short forms: label, keyword, regular expression over words.
+SHORT = [
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?"),
+    ("apache-1.1", "apache", r"apache 1 1"),
+    ("apache-2.0", "apache", r"apache v?2 0"),
+    ("artistic-2.0", "artistic", r"artistic 2 0"),
+    ("boost-1.0", "bsl", r"bsl 1 0"),
+    ("cddl-1.0", "cddl", r"cddl(?: 1 [01])?"),
+    ("epl-1.0", "epl", r"epl ?v?1(?: 0)?"),
+    ("epl-2.0", "epl", r"epl ?v?2(?: 0)?"),
+    ("eupl-1.2", "eupl", r"eupl(?: v?1 2)?"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl(?: v?1 [123])?"),
+    ("mpl-1.1", "mpl", r"mpl ?v?1 [01]"),
+    ("mpl-2.0", "mpl", r"mpl ?v?2(?: 0)?"),
+    ("ms-pl", "ms pl", r"ms pl"),
+    ("odbl-1.0", "odbl", r"odbl(?: v?1 0)?"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl ?v?1 1"),
+    ("python-2.0", "psf", r"psf licen[cs]e"),
+    ("zpl-2.1", "zpl", r"zpl 2 1"),
+]
+
+#: What an SPDX line calls them, as words.
+SPDX = {
+    "agpl-3.0": "agpl 3 0", "apache-1.1": "apache 1 1", "apache-2.0": "apache 2 0",
+    "artistic-2.0": "artistic 2 0", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause",
+    "boost-1.0": "bsl 1 0", "cc-by-3.0": "cc by 3 0", "cc-by-4.0": "cc by 4 0",
+    "cc-by-nc-4.0": "cc by nc 4 0", "cc-by-nc-nd-4.0": "cc by nc nd 4 0",
+    "cc-by-nc-sa-4.0": "cc by nc sa 4 0", "cc-by-nd-4.0": "cc by nd 4 0",
+    "cc-by-sa-3.0": "cc by sa 3 0", "cc-by-sa-4.0": "cc by sa 4 0", "cc0-1.0": "cc0 1 0",
+    "cddl-1.0": "cddl 1 0", "cecill-2.1": "cecill 2 1", "epl-1.0": "epl 1 0", "epl-2.0": "epl 2 0",
+    "eupl-1.2": "eupl 1 2", "gfdl": "gfdl 1 [123]", "gpl-2.0": "gpl 2 0", "gpl-3.0": "gpl 3 0",
+    "isc": "isc", "lgpl-2.1": "lgpl 2 [01]", "lgpl-3.0": "lgpl 3 0", "mit": "mit(?! 0 )",
+    "mpl-1.1": "mpl 1 [01]", "mpl-2.0": "mpl 2 0", "ms-pl": "ms pl", "odbl-1.0": "odbl 1 0",
+    "ofl-1.1": "ofl 1 1", "python-2.0": "python 2 0", "unlicense": "unlicense", "wtfpl": "wtfpl",
+    "zlib": "zlib", "zpl-2.1": "zpl 2 1",
+}
+
 #: What a grant puts before a name, with the keyword that it needs.
 GRANTS = {
     "licensed": r"(?:dual |re|sub)?licen[cs]ed (?:to you )?(?:under|with|by)(?: the terms of)?(?: the)?(?: gnu)?",
@@ -86,7 +123,6 @@ GRANTS = {
     "distributed": r"distributed (?:under|with|by)(?: the terms of)?(?: the)?(?: gnu)?",
     "available": r"(?:made )?available (?:under|with|by)(?: the terms of)?(?: the)?(?: gnu)?",
     "covered": r"covered (?:under|with|by)(?: the terms of)?(?: the)?(?: gnu)?",
-    "spdx": r"spdx licen[cs]e identifier",
 }
 
 #: Detections that no name is part of: label, rank, keyword, regular expression.
@@ -109,8 +145,10 @@ OTHERS = [
 #: Words without any of which no rule can fit. ``mit`` is too common a word in some languages.
 GATES = sorted(
     {keyword for keyword, _ in NAMES.values() if keyword != "mit licen"}
+    | {keyword for _, keyword, _ in SHORT if keyword != "ms pl"}
     | {keyword for _, _, keyword, _ in OTHERS}
-    | {"license", "licence", "noncommercial", "gplv2", "gplv3", "lgplv2", "lgplv3"}
+    | {"license", "licence", "noncommercial", "spdx", "pl", "lgplv", "gplversion"}
+    | {name + v + n for name in ("gpl", "lgpl", "agpl", "epl", "mpl", "ofl") for v in ("", "v") for n in "123"}
 )
 
 
@@ -123,12 +161,18 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """A rule for each name alone, and for each way of granting with each name."""
+    """A rule for each name alone, and for each way of granting with each name, and for what an
+    SPDX line says."""
     found = []
-    for label, (keyword, name) in NAMES.items():
+    names = [(label, *rest) for label, rest in NAMES.items()] + SHORT
+    for label, keyword, name in names:
         found.append(Rule(label, NAME, (keyword,), rf"(?<= ){name}(?= )"))
         for verb, grant in GRANTS.items():
             found.append(Rule(label, GRANT, (keyword, verb), rf"(?<= ){grant} {name}(?= )"))
+    found += [
+        Rule(label, GRANT, ("spdx",), rf"(?<= )spdx licen[cs]e identifier {name}(?: only| or later)?(?= )")
+        for label, name in SPDX.items()
+    ]
     found += [
         Rule(label, rank, (keyword,), rf"(?<= ){pattern}(?= )")
         for label, rank, keyword, pattern in OTHERS

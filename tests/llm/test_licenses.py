@@ -72,3 +72,54 @@ def test_base_against_brute_force(spark, seed):
         assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None))
         assert r.base_labels == ",".join(sorted(labels))
         assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def _fitting(pattern, most):
+    """A text that a rule's pattern fits, with all optional parts or with none."""
+
+    def text(parts):
+        found = ""
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                found += chr(value)
+            elif kind == "IN":
+                found += {"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: "0"}[str(value[0][0])](value[0][1])
+            elif kind == "MAX_REPEAT":
+                found += text(value[2]) * (value[1] if most else value[0])
+            elif kind == "SUBPATTERN":
+                found += text(value[3])
+            elif kind == "BRANCH":
+                found += text(value[1][-1 if most else 0])
+            else:
+                assert kind in ("ASSERT", "ASSERT_NOT"), kind
+        return found
+
+    return text(re._parser.parse(pattern))
+
+
+@pytest.mark.parametrize("most", [False, True])
+def test_every_rule_labels_a_text(spark, most):
+    rules = licenses.rules()
+    texts = [_fitting(r.pattern, most) for r in rules]
+    found = _scan(spark, [f"Some {t} text" for t in texts])
+    missed = [(r.label, t, found[i].labels) for i, (r, t) in enumerate(zip(rules, texts))
+              if r.label not in found[i].labels.split(",")]
+    assert missed == []
+
+
+def test_short_forms_and_spdx_lines(spark):
+    texts = {
+        "Released under GPL2.": "gpl-2.0-short",
+        "Use LGPL3": "lgpl",
+        "under the GPLv3": "gpl-3.0-short",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+        "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3.0",
+        "SPDX-License-Identifier: BSL-1.0": "boost-1.0",
+        "SPDX-License-Identifier: MIT-0": "",
+        "Distributed under MPL-2.0": "mpl-2.0",
+    }
+    found = _scan(spark, list(texts))
+    assert [found[i].labels for i in range(len(texts))] == list(texts.values())
