@@ -47,7 +47,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Fixed values of the query: the rules, and hosts that are blocked where no rule fits.
+#: Fixed values of the query: the rules, and hosts that are blocked where no rule fits. The hosts
+#: are a stand-in for a list of bad hosts: they stand in the test pages.
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -63,9 +64,11 @@ BLOCKED_HOSTS = [
 ]
 
 
-def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_urls(spark: SparkSession, sf_dir: str, blocked: DataFrame | None = None) -> DataFrame:
+    """``blocked`` is a list with ``host`` and ``path``, in place of the stand-in."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    blocked = spark.createDataFrame(BLOCKED_HOSTS, "host string, path string")
+    if blocked is None:
+        blocked = spark.createDataFrame(BLOCKED_HOSTS, "host string, path string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules, blocked)
 
 

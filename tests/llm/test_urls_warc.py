@@ -3,10 +3,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelry.llm import urls, warc
+from parcelry.llm import queries, urls, warc
 from parcelry.session import Staging
 
 RULES = [("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("b.com", "", "block")]
@@ -54,6 +55,22 @@ def test_filter_misses_nothing_and_little_passes(spark):
     assert held("other").mean() < 0.05
 
 
+def test_a_large_list_given_to_the_query(spark, tmp_path):
+    n = 40_000
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}{i}.net/x") for i in range(n)]
+    frame = spark.createDataFrame(pages, "page_id long, url string").withColumn("html", F.lit(""))
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    listed = [(f"bad{i}.net", "/") for i in range(1, 3 * n, 2)]
+    blocked = spark.createDataFrame(listed, "host string, path string")
+    # Some hosts that are not listed pass the filter; the join has to find them out.
+    keys = urls.listed_keys(spark.createDataFrame([], "host string, path string, verdict string"), blocked)
+    hashes = np.array([urls.key_hash(f"good{i}.net/") for i in range(0, n, 2)], np.uint64)
+    assert urls.build_filter(keys).may_hold(hashes).any()
+    found = queries.op2_urls(spark, str(tmp_path), blocked).collect()
+    assert len(found) == n
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in found)
+
+
 def test_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
