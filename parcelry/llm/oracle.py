@@ -82,6 +82,78 @@ select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit,
 from docs left join hit using (doc_id) left join named using (doc_id)
 """
 
+_SEARCH = f"""
+with docs as (
+  select place, doc_id, words, len(words) as n
+  from (select row_number() over () as place, doc_id, {_WORDS} as words from documents)
+  where len(words) > 0),
+totals as (select count(*) as n_docs, sum(n)::bigint as n_terms from docs),
+items as (
+  select item_id, term, count(*) as times
+  from (select item_id, unnest({_WORDS}) as term from benchmark) group by all),
+found as (
+  select place, doc_id, n, term, count(*) as tf
+  from (select place, doc_id, n, unnest(words) as term from docs)
+  where term in (select term from items) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from found, totals group by term, n_docs),
+parts as (
+  select place, doc_id, term, w * ((1000000000 * tf)
+           // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) as part
+  from found join weights using (term), totals),
+scores as (
+  select item_id, doc_id, sum(times * part)::bigint as score
+  from parts join items using (term) group by item_id, place, doc_id having sum(times * part) > 0)
+select item_id, row_number() over best :: int as rank, doc_id, score from scores
+window best as (partition by item_id order by score desc, doc_id nulls last)
+qualify row_number() over best <= 10
+"""
+
+
+def _clusters(size: int = 64, clusters: int = 16, rounds: int = 3) -> str:
+    steps = [
+        f"""kept as materialized (
+  select row_number() over () as place, vec_id,
+         list_transform(embedding, lambda x: floor({size} * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = {size}
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})""",
+        f"""centroids0 as materialized (
+  select row_number() over first - 1 as cluster, v from kept
+  window first as (order by sha256('1:' || vec_id) nulls last, v)
+  qualify row_number() over first <= {clusters})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""assigned{i} as materialized (
+  select place, vec_id, kept.v, cluster,
+         list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+           ::bigint as distance
+  from kept, centroids{i} c
+  qualify row_number() over (partition by place order by distance, cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""centroids{i + 1} as materialized (
+  select cluster, coalesce(means.v, old.v) as v
+  from centroids{i} old left join (
+    select cluster, list(((s - (s % n + n) % n) // n)::bigint order by j) as v
+    from (select cluster, j, sum(v[j]) as s, count(*) as n
+          from assigned{i}, (select unnest(range(1, {size + 1})) as j) group by cluster, j)
+    group by cluster) means using (cluster))""")
+    return f"""
+with {", ".join(steps)}
+select vec_id, cluster::int as cluster, distance,
+       (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::varchar), ',')) as centroid_sha256
+from assigned{rounds} join centroids{rounds} c using (cluster)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urls": _URLS, "op7_warc": _WARC, "op8_decontaminate": _LEAKS}
+    return {
+        "op2_urls": _URLS,
+        "op7_warc": _WARC,
+        "op8_decontaminate": _LEAKS,
+        "op12_search": _SEARCH,
+        "op13_clusters": _clusters(),
+    }

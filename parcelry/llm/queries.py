@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from parcelry.llm import (
     bpe,
+    classifier,
+    clustering,
     decontaminate,
     language,
     licenses,
     pages,
     quality,
+    ranking,
     simhash,
     toxicity,
     urls,
@@ -146,6 +149,27 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(table(spark, sf_dir, "pages"), Staging(spark))
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = classifier.learn_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id",
+        classifier.held_out(F.col("doc_id")).alias("held_out"),
+        classifier.quality_score(F.col("text"), trees).alias("found"),
+    ).select("doc_id", "held_out", "found.*")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    # The result, ten rows an item, is staged, so the scans can go.
+    with Staging(spark) as scans:
+        return Staging(spark).write(ranking.search(docs, items, scans)).frame
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -158,4 +182,7 @@ def queries() -> dict[str, Query]:
         "op8_decontaminate": op8_decontaminate,
         "op9_simhash": op9_simhash,
         "op10_main_text": op10_main_text,
+        "op11_quality_model": op11_quality_model,
+        "op12_search": op12_search,
+        "op13_clusters": op13_clusters,
     }

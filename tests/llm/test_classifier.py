@@ -1,0 +1,131 @@
+"""Statistics, boosted trees and their flat form, held-out accuracy."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parcelry.llm import classifier
+from parcelry.llm.classifier import STATISTICS, Growth, fit_trees, statistics
+from parcelry.llm.queries import op11_quality_model, table
+
+SF = "/root/testdata/sf0.01"
+
+
+def _named(text):
+    return dict(zip(STATISTICS, statistics(text), strict=True))
+
+
+def test_statistics():
+    found = _named("Aé b1.\nAé b1.\n\n## x")
+    assert found["upper"] == pytest.approx(2 / 19) and found["beyond"] == pytest.approx(2 / 19)
+    assert found["digit"] == pytest.approx(2 / 19) and found["symbol"] == pytest.approx(2 / 19)
+    assert found["words"] == pytest.approx(np.log1p(6))
+    assert found["word_length"] == pytest.approx((3 + 3 + 3 + 3 + 2 + 1) / 6)
+    assert found["distinct_words"] == pytest.approx(4 / 6)
+    assert found["distinct_pairs"] == pytest.approx(4 / 5)
+    assert found["commonest_word"] == pytest.approx(2 / 6)
+    assert found["repeated_lines"] == pytest.approx(1 / 3)
+    assert found["without_letter"] == pytest.approx(1 / 6)
+    assert found["lines_ending_in_stop"] == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("text", ["", " \n\t", "\n\n", "é", "###", "a" * 3_000_000, "ab. " * 700_000])
+def test_statistics_of_odd_texts_are_finite(text):
+    found = statistics(text)
+    assert len(found) == len(STATISTICS) and np.isfinite(found).all()
+
+
+def _follow(trees, row):
+    """One tree after the other, one question after the other."""
+    total = trees.base
+    for node in trees.roots:
+        while trees.left[node] != node:
+            below = row[trees.feature[node]] <= trees.threshold[node]
+            node = trees.left[node] if below else trees.right[node]
+        total += trees.value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def _rows(n=600):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(n, 4))
+    rows[:, 2] = rng.integers(0, 3, n)
+    labels = ((rows[:, 0] > 0.3) ^ (rows[:, 2] == 1)).astype(int)
+    return rows, labels
+
+
+def test_flat_traversal_equals_following_the_nodes():
+    rows, labels = _rows()
+    trees = fit_trees(rows, labels, Growth(rounds=25))
+    scores = trees.scores(rows)
+    assert np.allclose(scores, [_follow(trees, r) for r in rows])
+    assert ((scores > 0.5) == labels).mean() > 0.98
+
+
+def test_first_split_is_the_best_of_all():
+    rows, labels = _rows(200)
+    growth = Growth(rounds=1, depth=1, bins=256, least=5)
+    trees = fit_trees(rows, labels, growth)
+    p = labels.mean() * len(labels) / (len(labels) + 2) + 1 / (len(labels) + 2)
+    g, h = p - labels, np.full(len(labels), p * (1 - p))
+
+    def gain(f, cut):
+        below = rows[:, f] <= cut
+        if min(below.sum(), (~below).sum()) < growth.least:
+            return -np.inf
+        return sum(g[s].sum() ** 2 / (h[s].sum() + growth.ridge) for s in (below, ~below))
+
+    best = max(gain(f, cut) for f in range(4) for cut in rows[:, f])
+    root = trees.roots[0]
+    assert gain(trees.feature[root], trees.threshold[root]) == pytest.approx(best)
+    below = rows[:, trees.feature[root]] <= trees.threshold[root]
+    leaf = -growth.rate * g[below].sum() / (h[below].sum() + growth.ridge)
+    assert trees.value[trees.left[root]] == pytest.approx(leaf)
+
+
+def test_order_of_rows_does_not_matter():
+    rows, labels = _rows()
+    order = np.random.default_rng(1).permutation(len(rows))
+    first, second = fit_trees(rows, labels), fit_trees(rows[order], labels[order])
+    assert (first.scores(rows) == second.scores(rows)).all()
+
+
+def test_no_rows_and_one_label():
+    none = np.zeros((0, len(STATISTICS)))
+    assert fit_trees(none, np.zeros(0)).scores(np.zeros((2, len(STATISTICS)))).tolist() == [0.5, 0.5]
+    rows = np.random.default_rng(0).normal(size=(8, 3))
+    assert fit_trees(rows, np.ones(8)).scores(rows).tolist() == pytest.approx([0.9] * 8)
+
+
+def test_equal_values_are_not_split():
+    rows, labels = np.ones((100, 3)), np.arange(100) % 2
+    assert fit_trees(rows, labels).scores(rows).tolist() == pytest.approx([0.5] * 100)
+
+
+def test_sample_is_bounded_and_a_repeated_id_counts_once(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    docs = docs.union(spark.range(500).select(F.lit(3).alias("doc_id"), F.lit("more").alias("text")))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    assert classifier.labelled_statistics(docs, labels, sample=50).count() == 50
+    found = classifier.labelled_statistics(docs, labels)
+    assert found.count() == labels.where(~classifier.held_out(F.col("doc_id"))).count()
+
+
+def test_held_out_rows(spark):
+    labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect()}
+    found = [r for r in op11_quality_model(spark, SF).collect() if r.held_out and r.doc_id in labels]
+    good = [r.predicted for r in found if labels[r.doc_id] == 1]
+    bad = [r.predicted for r in found if labels[r.doc_id] == 0]
+    assert len(good) > 40 and len(bad) > 8
+    assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.1
+
+
+def test_held_out_labels_are_not_learnt_from(spark):
+    docs, labels = (table(spark, SF, name) for name in ("documents", "labels"))
+    turned = labels.withColumn(
+        "quality",
+        F.when(classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")),
+    )
+    first, second = (classifier.learn_quality(docs, x) for x in (labels, turned))
+    rows = np.array([statistics(r.text or "") for r in docs.limit(50).collect()])
+    assert (first.scores(rows) == second.scores(rows)).all()

@@ -1,0 +1,102 @@
+"""Nearest centroids and whole clusterings against direct computation."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from parcelry.llm import clustering
+from parcelry.llm.oracle import oracle_sql
+from parcelry.llm.queries import op13_clusters
+from parcelry_checks.compare import difference, oracle_connection
+
+
+def _plain_nearest(vectors, centroids):
+    distances = ((vectors[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+    numbers = distances.argmin(axis=1)  # the first of equal ones
+    return numbers, distances[np.arange(len(vectors)), numbers]
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.integers(0, 2**32 - 1),
+    st.integers(1, 40),
+    st.integers(1, 9),
+    st.sampled_from([1, 2, 50, clustering.LARGEST]),
+)
+def test_nearest_is_exact(seed, count, size, reach):
+    # Small reaches give many ties, the largest gives distances of almost 64 bits.
+    rng = np.random.default_rng(seed)
+    centroids = rng.integers(-reach, reach + 1, (count, size))
+    vectors = np.concatenate([rng.integers(-reach, reach + 1, (60, size)), centroids])
+    numbers, distances = clustering.Centroids(centroids).nearest(vectors)
+    expected = _plain_nearest(vectors, centroids)
+    assert (numbers == expected[0]).all() and (distances == expected[1]).all()
+
+
+def test_most_centroids_are_rejected_by_two_numbers(monkeypatch):
+    rng = np.random.default_rng(5)
+    centroids = rng.normal(rng.normal(0, 400, (200, 1)), 20, (200, 64)).astype(np.int64)
+    vectors = centroids[rng.integers(0, 200, 500)] + rng.integers(-9, 10, (500, 64))
+    compared = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda s, a, b: compared.append(len(a)) or einsum(s, a, b))
+    clustering.Centroids(centroids).nearest(vectors)
+    assert sum(compared) < 0.05 * 500 * 200
+
+
+def _plain(rows, clusters, rounds, size):
+    vectors = np.array([[int(np.floor(64 * float(x))) for x in v] for _, v in rows])
+    order = sorted(
+        range(len(rows)),
+        key=lambda i: (hashlib.sha256(f"1:{rows[i][0]}".encode()).hexdigest(), list(rows[i][1])),
+    )
+    centroids = [vectors[i].tolist() for i in order[:clusters]]
+    for _ in range(rounds):
+        numbers, _ = _plain_nearest(vectors, np.array(centroids))
+        for c in range(len(centroids)):
+            own = [vectors[i].tolist() for i in range(len(rows)) if numbers[i] == c]
+            if own:
+                centroids[c] = [sum(column) // len(own) for column in zip(*own)]
+    numbers, distances = _plain_nearest(vectors, np.array(centroids))
+    return sorted(zip([key for key, _ in rows], numbers.tolist(), distances.tolist())), centroids
+
+
+def test_clusters_equal_direct_computation(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, np.float32(rng.normal((i % 5) - 2, 0.3, 4)).tolist()) for i in range(300)]
+    rows += rows[:40] + [(1000 + i, rows[0][1]) for i in range(200)]  # copies, a crowded vector
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    found = clustering.cluster_vectors(table, clusters=6, rounds=3, size=4).collect()
+    expected, centroids = _plain(rows, 6, 3, 4)
+    assert sorted((r.vec_id, r.cluster, r.distance) for r in found) == expected
+    digests = clustering.centroid_digests(np.array(centroids))
+    for r in found:
+        assert r.centroid_sha256 == digests[r.cluster]
+        assert r.cluster_inertia == sum(d for _, c, d in expected if c == r.cluster)
+        assert r.inertia == sum(d for *_, d in expected)
+
+
+def test_means_are_floors(spark):
+    rows = [(1, [-1 / 64, 0.0]), (2, [-2 / 64, 0.0]), (3, [-2 / 64, 1 / 64])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = clustering.usable_vectors(table, size=2)
+    assert clustering.fit_centroids(vectors, clusters=1, rounds=1, size=2).tolist() == [[-2, 0]]
+
+
+def test_a_cluster_that_loses_its_vectors_stays(spark):
+    vectors = np.array([[0, 0], [0, 0], [10, 10]])
+    assert _plain_nearest(vectors, vectors)[0].tolist() == [0, 0, 2]
+    rows = [(i, (v / 64).tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centroids = clustering.fit_centroids(clustering.usable_vectors(table, size=2), 3, 2, 2)
+    assert sorted(centroids.tolist()) == [[0, 0], [0, 0], [10, 10]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    sql = oracle_sql()["op13_clusters"]
+    assert difference(op13_clusters(spark, folder), oracle_connection(folder), sql) is None

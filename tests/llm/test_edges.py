@@ -30,8 +30,21 @@ PAGES = [
     (None, "http://b.example.com/fr/", "<p>open <b>text"),
     (4, "http://b.example.com/fr/\r\nX", "<article><p>One</p></article>"),
 ]
+VECTORS = [
+    (1, [0.5] * 64, 0),
+    (1, [0.5] * 64, 0),
+    (2, [-0.01] * 64, 0),
+    (3, None, 0),
+    (4, [0.5] * 63, 0),
+    (5, [0.5] * 63 + [None], 0),
+    (6, [0.5] * 63 + [float("nan")], 0),
+    (7, [0.5] * 63 + [float("inf")], 0),
+    (8, [3e38] * 64, 0),
+    (None, [0.25] * 64, None),
+]
 #: Columns that the operators use inside, and that a table may have as well.
 CLASHES = ["fp", "row", "hits", "key", "found", "cut", "host", "digest", "words", "q", "t", "first"]
+CLASHES += ["stats", "vector", "cluster", "distance", "n", "term", "terms", "rank", "score"]
 
 
 def _write(spark, folder, empty):
@@ -47,6 +60,7 @@ def _write(spark, folder, empty):
     save("benchmark", items, "item_id long, text string", CLASHES)
     labels = [(1, 1, 0), (6, 1, 0), (None, 1, 1), (7, None, None), (1, 1, 1)]
     save("labels", labels, "doc_id long, quality int, toxic int", CLASHES)
+    save("embeddings", VECTORS, "vec_id long, embedding array<float>, label int", CLASHES)
     return str(folder)
 
 
@@ -149,6 +163,28 @@ def test_main_text(spark, odd):
     assert found[None].text == "open text"
 
 
+def test_quality_model(spark, odd):
+    _, rows = _by_id(llm.queries()["op11_quality_model"](spark, odd))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_search(spark, odd):
+    found = llm.queries()["op12_search"](spark, odd).collect()
+    first = sorted((r.rank, r.doc_id) for r in found if r.item_id == 1)
+    # "plain text of some": three equal texts, by their ids.
+    assert first == [(1, 1), (2, 1), (3, 2)]
+    assert {r.item_id for r in found} == {1, None}
+    assert (1, None) in {(r.rank, r.doc_id) for r in found if r.item_id is None}
+
+
+def test_clusters(spark, odd):
+    found = llm.queries()["op13_clusters"](spark, odd).collect()
+    # Fewer vectors than clusters: each is a centroid, of equal ones the first has all.
+    assert sorted(r.vec_id or 0 for r in found) == [0, 1, 1, 2, 8]
+    assert {r.distance for r in found} == {r.inertia for r in found} == {0}
+    assert len({r.cluster for r in found}) == 4
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = corpus_pipeline.drop_near_copies(spark, docs, odd)
