@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _NULLS = "__nulls"
 _HASH = "__hash"
-_DIGEST = "__digest"
+DIGEST = "__digest"
 TAG_KEY = ("registry", "pkg_name", "tag_name")
 _REVISION_KEY = ("registry", "pkg_name", "top_hash")
 
@@ -70,7 +70,7 @@ def distinct_keys(frame: DataFrame, key: Sequence[str]) -> DataFrame:
     return encode_key(frame.select(*key), key).distinct()
 
 
-def _digest(key: Sequence[str]) -> Column:
+def key_digest(key: Sequence[str]) -> Column:
     """SHA-256 of the key: 32 bytes, however long its texts are.
 
     Each text goes in with its length in front, and a NULL without one, so different keys give
@@ -83,10 +83,15 @@ def _digest(key: Sequence[str]) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
+def key_has_null(key: Sequence[str]) -> Column:
+    """Whether some part of the key is NULL."""
+    return F.greatest(*(F.col(name).isNull() for name in key))
+
+
 def _known_digests(target: DataFrame, key: Sequence[str], null_safe: bool) -> DataFrame:
     # Under plain equality a key with a NULL part equals no other key.
     known = target if null_safe else target.dropna(subset=list(key))
-    return known.select(_digest(key).alias(_DIGEST)).distinct()
+    return known.select(key_digest(key).alias(DIGEST)).distinct()
 
 
 def new_rows(
@@ -98,8 +103,8 @@ def new_rows(
     them is. With ``null_safe=False`` a key with a NULL part is always new.
     """
     known = _known_digests(target, key, null_safe)
-    digested = source.withColumn(_DIGEST, _digest(key))
-    return hash_join(digested, known, [_DIGEST], "left_anti").drop(_DIGEST).distinct()
+    digested = source.withColumn(DIGEST, key_digest(key))
+    return hash_join(digested, known, [DIGEST], "left_anti").drop(DIGEST).distinct()
 
 
 def new_keys(
@@ -111,13 +116,13 @@ def new_keys(
     side is shuffled once.
     """
     known = _known_digests(target, key, null_safe)
-    return source.select(_digest(key).alias(_DIGEST)).distinct().join(known, _DIGEST, "left_anti")
+    return source.select(key_digest(key).alias(DIGEST)).distinct().join(known, DIGEST, "left_anti")
 
 
 def rows_with_key(source: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Source rows whose key is among ``keys`` (as made by ``new_keys``)."""
-    digested = source.withColumn(_DIGEST, _digest(key))
-    return hash_join(digested, keys, [_DIGEST], "left_semi").select(*source.columns)
+    digested = source.withColumn(DIGEST, key_digest(key))
+    return hash_join(digested, keys, [DIGEST], "left_semi").select(*source.columns)
 
 
 def tags_to_append(tags: DataFrame, target: DataFrame) -> DataFrame:

@@ -8,24 +8,34 @@ others. Any other failure, such as a full disk, fails the group as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.functions.columns import LATEST
 from parcelry.operators.merge import (
+    DIGEST,
     changed_tags,
     choose_tags,
-    new_keys,
     replace_tags,
     rows_with_key,
     tags_to_append,
 )
 from parcelry.operators.projections import entry_rows, revision_rows, tag_rows
+from parcelry.plans.keys import (
+    append_digests,
+    digests_with_counts,
+    rebuild,
+    row_counts,
+    unknown_keys,
+    unpacked,
+)
 from parcelry.plans.tables import (
     append_rows,
     overwrite_partitions,
@@ -120,6 +130,7 @@ class _Run:
     staging: Staging  # for the whole run
     moved: list[DataFrame] = field(default_factory=list)  # staged tags, not yet in the table
     stopped: str | None = None  # why tags are left alone from here on
+    warnings: dict[str, str] = field(default_factory=dict)  # of the job at hand, by target
 
     def source(self, kind: str, registries: Sequence[str]) -> DataFrame:
         return self.sources.view(kind, registries)
@@ -132,22 +143,46 @@ class _Run:
     def insert_new(self, rows: DataFrame, target: Target, registries: Sequence[str]) -> int:
         """Append the rows whose key the table lacks.
 
-        A rerun mostly meets rows it knows. So only digests of the keys are shuffled to find the
-        new ones; these are staged, and pick the full rows: in the scan, without a shuffle, if
-        they fit the broadcast limit, else by a shuffle join. Only the rows picked are made
-        distinct. An empty table lacks every key, which needs no join.
+        A rerun mostly meets rows it knows. So only digests of the delivered keys are shuffled, to
+        the table's own digests, to find the new ones; these are staged, and pick the full rows:
+        in the scan, without a shuffle, if they fit the broadcast limit, else by a shuffle join.
+        Only the rows picked are made distinct. An empty table lacks every key, which needs no
+        join.
         """
-        held = self.held(target, registries)
-        if not held.take(1):
-            return append_rows(rows.distinct(), target, self.database)
+        counts = row_counts(self.spark, target, self.database, registries)
+        if not any(held for held, _ in counts.values()):
+            written = append_rows(rows.distinct(), target, self.database)
+            self.note_keys(
+                target, lambda: rebuild(self.spark, target, self.database, registries)
+            )
+            return written
+        outdated = sorted(r for r, (held, noted) in counts.items() if held != noted)
+        rebuild(self.spark, target, self.database, outdated)
         with Staging(self.spark) as staging:
-            keys = staging.write(new_keys(rows, held, target.key, null_safe=not self.strict))
+            keys = staging.write(
+                unknown_keys(rows, target, self.database, registries, null_safe=not self.strict)
+            )
             if keys.rows == 0:
                 return 0
             fits = keys.rows * _KEY_BYTES <= self.broadcast_bytes
             wanted = F.broadcast(keys.frame) if fits else keys.frame
-            new = rows_with_key(rows, wanted, target.key).distinct()
-            return append_rows(new, target, self.database)
+            new = rows_with_key(rows, wanted.select(DIGEST), target.key).distinct()
+            written = append_rows(new, target, self.database)
+            noted = (
+                unpacked(keys.frame, registries)
+                if written == keys.rows
+                else digests_with_counts(new, target)  # some key has several rows
+            )
+            self.note_keys(target, lambda: append_digests(noted, target, self.database))
+            return written
+
+    def note_keys(self, target: Target, write: Callable[[], None]) -> None:
+        """Bring the key table up to date. If that fails the merge has been done nevertheless, and
+        the next one finds that the counts differ."""
+        try:
+            write()
+        except (PySparkException, Py4JError) as error:
+            self.warnings[target.name] = f"keys are taken anew by the next merge: {error}"
 
     def merge_revisions(self, target: Target, registries: Sequence[str]) -> int:
         packages = self.source("packages", registries)
@@ -208,6 +243,29 @@ class _Run:
                 for o in report.outcomes
             ]
 
+    def merge_group(self, targets: Sequence[Target], group: Sequence[str]) -> list[Outcome]:
+        """All targets of a group, those of the two kinds of views at the same time."""
+
+        def merge(part: Sequence[Target]) -> list[Outcome]:
+            done = []
+            for target in part:
+                ready = [r for r in group if target.view in self.sources.kinds[r]]
+                lacking = tuple(r for r in group if target.view not in self.sources.kinds[r])
+                if lacking:
+                    done.append(Outcome(target.name, lacking, "skipped"))
+                if ready:
+                    done += self.attempt(target, ready)
+            return done
+
+        # Revisions before tags: the newest revision decides between two tags. Entries need
+        # neither, and many jobs of a small merge leave most cores idle.
+        kinds = dict.fromkeys(t.view for t in targets)
+        parts = [[t for t in targets if t.view == kind] for kind in kinds]
+        with ThreadPoolExecutor(max(len(parts), 1)) as pool:
+            # A thread's own Spark properties, such as its job group, go along.
+            own = [pool.submit(inheritable_thread_target(self.spark)(merge), p) for p in parts]
+            return [outcome for future in own for outcome in future.result()]
+
     def step(self, target: Target) -> Callable[[Target, Sequence[str]], int]:
         return {
             "package_revision": self.merge_revisions,
@@ -216,6 +274,7 @@ class _Run:
         }[target.name]
 
     def attempt(self, target: Target, registries: Sequence[str]) -> list[Outcome]:
+        self.warnings.pop(target.name, None)
         try:
             rows = self.step(target)(target, registries)
         except TagsNotReplaced as error:
@@ -228,7 +287,7 @@ class _Run:
                 halves = registries[:half], registries[half:]
                 return [o for part in halves for o in self.attempt(target, part)]
             return [Outcome(target.name, tuple(registries), "failed", error=str(error))]
-        return [Outcome(target.name, tuple(registries), "ok", rows)]
+        return [Outcome(target.name, tuple(registries), "ok", rows, self.warnings.get(target.name))]
 
 
 def consolidate(
@@ -266,14 +325,6 @@ def consolidate(
             spark, sources, database, strict, tag, on_bad_timestamp, broadcast_bytes, staging
         )
         for start in range(0, len(wanted), size):
-            group = wanted[start : start + size]
-            # Revisions before tags: the newest revision decides between two tags.
-            for target in targets:
-                ready = [r for r in group if target.view in sources.kinds[r]]
-                lacking = tuple(r for r in group if target.view not in sources.kinds[r])
-                if lacking:
-                    report.outcomes.append(Outcome(target.name, lacking, "skipped"))
-                if ready:
-                    report.outcomes.extend(run.attempt(target, ready))
+            report.outcomes += run.merge_group(targets, wanted[start : start + size])
         run.replace_moved_tags(report)
     return report

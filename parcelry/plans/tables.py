@@ -18,7 +18,7 @@ _SLICE = "__slice"
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     """Create the database if it is absent, in a folder of its own if one is given."""
-    where = f" LOCATION '{location}'" if location else ""
+    where = f" LOCATION {sql_text(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}{where}")
 
 
@@ -26,6 +26,17 @@ def table_name(target: Target, database: str | None) -> str:
     return f"{quoted(database)}.{target.name}" if database else target.name
 
 
+def key_table_name(target: Target, database: str | None) -> str:
+    """The table of the target's keys, if there is one (``plans.keys``)."""
+    return f"{table_name(target, database)}_keys"
+
+
+def sql_text(value: str) -> str:
+    """A string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def create_target(
     spark: SparkSession,
     target: Target,
@@ -77,6 +88,7 @@ def drop_targets(
 ) -> None:
     for target in targets:
         spark.sql(f"DROP TABLE IF EXISTS {table_name(target, database)}")
+        spark.sql(f"DROP TABLE IF EXISTS {key_table_name(target, database)}")
 
 
 def table_exists(spark: SparkSession, target: Target, database: str | None = None) -> bool:
@@ -252,7 +264,7 @@ def replace_rows(frame: DataFrame, target: Target, database: str | None = None)
     new = f"{old.rstrip('/').partition('-version-')[0]}-version-{uuid.uuid4().hex}"
     try:
         write_version(frame, target, new, provider)
-        spark.sql(f"ALTER TABLE {name} SET LOCATION '{new}'")
+        spark.sql(f"ALTER TABLE {name} SET LOCATION {sql_text(new)}")
     except Exception:
         delete_folder(spark, new)
         raise

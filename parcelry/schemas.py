@@ -85,6 +85,9 @@ class Target:
     partition_by: tuple[str, ...]
     bucket_by: tuple[tuple[int, str], ...]  # all bucket transforms of the layout
     sort_by: tuple[str, ...] = ()
+    #: Buckets of the table's keys (``plans.keys``). At scale as many as keep the digests of a
+    #: bucket, of all registries that a job covers, to some hundred MB.
+    key_buckets: int = 8
 
     @property
     def columns(self) -> list[str]:

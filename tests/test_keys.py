@@ -1,0 +1,200 @@
+"""The table of a target's keys: what it holds, when it is rebuilt, and that it is not shuffled."""
+
+import re
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from parcelry.operators.merge import DIGEST
+from parcelry.plans import keys, run
+from parcelry.plans.run import consolidate
+from parcelry.plans.tables import append_rows, drop_targets, key_table_name, table_name
+from parcelry.schemas import ENTRY, REVISION, TAG, TARGETS
+from tests.conftest import rows
+from tests.test_consolidate import contents, package, views, written
+
+pytestmark = pytest.mark.usefixtures("interpreted")
+KEYED = (REVISION, ENTRY)
+
+
+def noted(spark, target, database):
+    """The key table summed up, as text."""
+    return rows(
+        spark.table(key_table_name(target, database))
+        .groupBy(F.hex(DIGEST), "has_null", "registry")
+        .agg(F.sum("n_rows"))
+    )
+
+
+def expected(spark, target, database):
+    held = spark.table(table_name(target, database))
+    return rows(
+        keys.digests_with_counts(held, target).select(F.hex(DIGEST), "has_null", "registry", "n_rows")
+    )
+
+
+def assert_up_to_date(spark, database):
+    for target in KEYED:
+        assert noted(spark, target, database) == expected(spark, target, database)
+
+
+@pytest.mark.parametrize("partitioned", [True, False])
+def test_keys_follow_the_tables(spark, make_database, make_sources, partitioned):
+    database = make_database(partitioned)
+    consolidate(spark, make_sources(views("r1")), database)
+    assert_up_to_date(spark, database)
+    more = views("r1", extra_objects=[("h3", "new", "s3://x/9", None, 1, None)]) | views("r2")
+    assert written(consolidate(spark, make_sources(more), database))[2] == 6
+    assert_up_to_date(spark, database)
+    assert written(consolidate(spark, make_sources(more), database)) == [0, 0, 0]
+
+
+def test_keys_with_several_rows(spark, make_database, make_sources):
+    """Rows that share a key but differ elsewhere; counted, so nothing looks outdated."""
+    database = make_database()
+    consolidate(spark, make_sources(views("r1")), database)
+    twice = [("h9", "k", f"s3://x/{i}", None, i, None) for i in range(2)]
+    sources = make_sources(views("r1", extra_objects=twice))
+    assert written(consolidate(spark, sources, database))[2] == 2
+    assert_up_to_date(spark, database)
+    assert keys.row_counts(spark, ENTRY, database, ["r1"]) == {"r1": (7, 7)}
+
+
+@pytest.mark.parametrize("partitioned", [True, False])
+@pytest.mark.parametrize("first", [True, False])
+def test_a_merge_that_stops_between_the_two_writes(
+    spark, make_database, make_sources, monkeypatch, partitioned, first
+):
+    database = make_database(partitioned)
+    if not first:
+        consolidate(spark, make_sources(views("r1") | views("r2")), database)
+    extra = [("h3", "new", "s3://x/9", None, 1, None)]
+    sources = make_sources(views("r1", extra_objects=extra) | views("r2"))
+
+    def fail(*_):
+        raise PySparkException("lost executor")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(run, "rebuild" if first else "append_digests", fail)
+        if first:
+            patch.setattr(run, "append_digests", fail)
+        report = consolidate(spark, sources, database)
+    assert report.failed == 0 and report.rows("package_entry") == (11 if first else 1)
+    assert "lost executor" in [o.error for o in report.outcomes if o.target == "package_entry"][0]
+    before = contents(spark, database)
+    assert written(consolidate(spark, sources, database)) == [0, 0, 0]
+    assert contents(spark, database) == before
+    assert_up_to_date(spark, database)
+
+
+def test_rows_written_past_the_merge_are_known(spark, make_database, make_sources):
+    database = make_database()
+    consolidate(spark, make_sources(views("r1") | views("r2")), database)
+    row = ("r1", "h7", "k", "s3://x/7", None, 1, None)
+    append_rows(spark.createDataFrame([row], ENTRY.schema), ENTRY, database)
+    assert keys.row_counts(spark, ENTRY, database, ["r1", "r2"]) == {"r1": (6, 5), "r2": (5, 5)}
+    sources = make_sources(
+        views("r1", extra_objects=[("h7", "k", "s3://x/7", None, 1, None)]) | views("r2")
+    )
+    assert written(consolidate(spark, sources, database)) == [0, 0, 0]
+    assert_up_to_date(spark, database)
+
+
+def test_a_rebuild_that_stops_half_way(spark, make_database, make_sources, monkeypatch):
+    database = make_database()
+    sources = make_sources(views("r1"))
+    consolidate(spark, sources, database)
+    row = ("r1", "h7", "k", "s3://x/7", None, 1, None)
+    append_rows(spark.createDataFrame([row], ENTRY.schema), ENTRY, database)
+
+    def fail(*_):
+        raise PySparkException("lost executor")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(keys, "append_digests", fail)
+        report = consolidate(spark, sources, database)
+    assert [o.target for o in report.outcomes if o.status == "failed"] == ["package_entry"]
+    assert keys.row_counts(spark, ENTRY, database, ["r1"]) == {"r1": (6, 0)}
+    assert written(consolidate(spark, sources, database)) == [0, 0, 0]
+    assert_up_to_date(spark, database)
+
+
+def test_strict_runs_note_what_they_add(spark, make_database, make_sources):
+    database = make_database()
+    sources = make_sources(views("r1"))
+    first = consolidate(spark, sources, database, strict=True)
+    # Entries without metadata are added again, by every run.
+    for _ in range(2):
+        assert written(consolidate(spark, sources, database, strict=True))[2] == 4
+        assert_up_to_date(spark, database)
+    assert first.rows("package_entry") == 5
+
+
+@pytest.mark.parametrize("registry", ["it's", "back\\slash", "a/b=c", "über maß", "%25"])
+def test_names_of_registries_are_taken_as_they_are(spark, make_database, make_sources, registry):
+    database = make_database()
+    consolidate(spark, make_sources(views(registry)), database)
+    row = (registry, "h7", "k", "s3://x/7", None, 1, None)
+    append_rows(spark.createDataFrame([row], ENTRY.schema), ENTRY, database)
+    assert written(consolidate(spark, make_sources(views(registry)), database)) == [0, 0, 0]
+    assert_up_to_date(spark, database)
+
+
+def test_keys_go_with_their_tables(spark, make_database, make_sources):
+    database = make_database()
+    consolidate(spark, make_sources(views("r1")), database)
+    drop_targets(spark, database)
+    left = spark.catalog.listTables(database)
+    assert [t.name for t in left if not t.isTemporary] == []
+
+
+def test_only_new_rows_of_a_table_made_empty(spark, make_database, make_sources):
+    database = make_database(partitioned=False)
+    consolidate(spark, make_sources(views("r1")), database)
+    spark.sql(f"TRUNCATE TABLE {table_name(ENTRY, database)}")
+    assert written(consolidate(spark, make_sources(views("r1")), database))[2] == 5
+    assert_up_to_date(spark, database)
+
+
+@pytest.mark.parametrize("partitions", ["2", "8", "64"])
+def test_the_key_table_is_not_shuffled(spark, make_database, make_sources, partitions):
+    database = make_database()
+    sources = make_sources(views("r1") | views("r2"))
+    consolidate(spark, sources, database)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        held = spark.table(table_name(ENTRY, database)).select(*ENTRY.columns)
+        found = keys.unknown_keys(held.where("registry = 'r1'"), ENTRY, database, ["r1"])
+        assert found.collect() == []
+        text = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = text.splitlines()
+    join = next(i for i, line in enumerate(lines) if "LeftOuter" in line)
+    depth = re.search(r"\w|\*", lines[join]).start()
+    # The second child of the join, to its end: the scan of the key table.
+    right = next(i for i in range(join + 1, len(lines)) if lines[i][depth:].startswith("+- "))
+    side = "\n".join(lines[right:])
+    assert "package_entry_keys" in side and "Bucketed: true" in side
+    assert "Exchange" not in side and "ShuffleQueryStage" not in side
+    assert re.search(r"PartitionFilters: \[[^\]]*registry#\d+", side)
+
+
+def test_the_tag_table_has_no_key_table(spark, make_database, make_sources):
+    database = make_database()
+    consolidate(spark, make_sources(views("r1")), database)
+    assert not spark.catalog.tableExists(key_table_name(TAG, database))
+    assert {t.name for t in TARGETS} - {TAG.name} == {t.name for t in KEYED}
+
+
+def test_null_parts_are_noted(spark, make_database, make_sources):
+    database = make_database()
+    sources = make_sources({"r1_packages-view": [package("a/a", "h1", "1600000000")]} | {
+        "r1_objects-view": [("h1", "k", "s3://x/1", None, 1, None), ("h1", "l", "s3://x/2", None, 1, "{}")]
+    })
+    consolidate(spark, sources, database)
+    held = spark.table(key_table_name(ENTRY, database))
+    assert sorted(r.has_null for r in held.collect()) == [False, True]
