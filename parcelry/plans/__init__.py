@@ -7,6 +7,7 @@ from parcelry.plans.tables import (
     drop_targets,
     missing_targets,
     overwrite_partitions,
+    replace_partitions,
     replace_rows,
     table_exists,
     table_report,
@@ -22,6 +23,7 @@ __all__ = [
     "drop_targets",
     "missing_targets",
     "overwrite_partitions",
+    "replace_partitions",
     "replace_rows",
     "table_exists",
     "table_report",

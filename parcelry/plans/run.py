@@ -38,11 +38,10 @@ from parcelry.plans.keys import (
 )
 from parcelry.plans.tables import (
     append_rows,
-    overwrite_partitions,
     partition_columns,
+    replace_partitions,
     replace_rows,
     require_targets,
-    required,
     table_name,
 )
 from parcelry.schemas import REVISION, TAG, TARGETS, Target
@@ -68,10 +67,6 @@ DATA_ERRORS = (
 )
 
 
-class TagsNotReplaced(RuntimeError):
-    """Replacing tags failed; nothing may touch the table before someone has looked at it."""
-
-
 @dataclass(frozen=True)
 class Outcome:
     """Result of one job: the registries it covered and the rows it wrote."""
@@ -81,7 +76,6 @@ class Outcome:
     status: str  # "ok", "failed" or "skipped"
     rows: int = 0
     error: str | None = None
-    final: bool = False  # repeating the job is no use, or not safe
 
 
 @dataclass
@@ -129,7 +123,6 @@ class _Run:
     broadcast_bytes: int
     staging: Staging  # for the whole run
     moved: list[DataFrame] = field(default_factory=list)  # staged tags, not yet in the table
-    stopped: str | None = None  # why tags are left alone from here on
     warnings: dict[str, str] = field(default_factory=dict)  # of the job at hand, by target
 
     def source(self, kind: str, registries: Sequence[str]) -> DataFrame:
@@ -197,8 +190,6 @@ class _Run:
         held = self.held(target, registries).where(F.col("tag_name") == self.tag)
         if self.strict:
             return append_rows(tags_to_append(tags, held), target, self.database)
-        if self.stopped:
-            raise TagsNotReplaced(f"not attempted after: {self.stopped}")
         chosen = choose_tags(tags, self.held(REVISION, registries))
         changed = self.staging.write(changed_tags(chosen, held))
         if changed.rows == 0:
@@ -209,20 +200,7 @@ class _Run:
         # At most one name per registry of this group.
         touched = [r[0] for r in changed.frame.select("registry").distinct().collect()]
         replaced = held.where(F.col("registry").isin(*touched))
-        with Staging(self.spark) as staging:
-            # Staged and checked in full before the old files go, and kept until the new ones
-            # are there.
-            state = required(replace_tags(replaced, changed.frame), target)
-            staged = staging.write(state)
-            staging.keep_on_error()
-            try:
-                overwrite_partitions(staged.frame, target, self.database)
-            except (PySparkException, Py4JError) as error:
-                self.stopped = (
-                    f"tags of {touched} may be incomplete, their state is in "
-                    f"{staging.folder}: {error}"
-                )
-                raise TagsNotReplaced(self.stopped) from error
+        replace_partitions(replace_tags(replaced, changed.frame), target, self.database)
         return changed.rows
 
     def replace_moved_tags(self, report: "RunReport") -> None:
@@ -277,8 +255,6 @@ class _Run:
         self.warnings.pop(target.name, None)
         try:
             rows = self.step(target)(target, registries)
-        except TagsNotReplaced as error:
-            return [Outcome(target.name, tuple(registries), "failed", error=str(error), final=True)]
         except (PySparkException, Py4JError, ValueError) as error:
             of_data = any(mark in str(error) for mark in DATA_ERRORS)
             if len(registries) > 1 and of_data:

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelry.schemas import TARGETS, Target, empty_frame
-from parcelry.session import Staging, delete_folder, quoted
+from parcelry.session import delete_folder, list_folder, quoted
 
 _SLICE = "__slice"
+#: In a partitioned table's folder: its replaced partitions, by version. Spark does not list it.
+_VERSIONS = "_versions"
+#: What the folder of a version of a plain table has between the table's name and a unique one.
+_VERSION = "-version-"
 
 
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
@@ -87,7 +91,11 @@ def drop_targets(
     spark: SparkSession, database: str | None = None, targets: Sequence[Target] = TARGETS
 ) -> None:
     for target in targets:
-        spark.sql(f"DROP TABLE IF EXISTS {table_name(target, database)}")
+        name = table_name(target, database)
+        if table_exists(spark, target, database):
+            folder = _described(spark, name, "Location")[0]
+            spark.sql(f"DROP TABLE {name}")
+            _delete_versions(spark, folder, keep=())
         spark.sql(f"DROP TABLE IF EXISTS {key_table_name(target, database)}")
 
 
@@ -141,9 +149,10 @@ def table_report(
 
 
 def _described(spark: SparkSession, table: str, *wanted: str) -> list[str]:
-    """Values of the table's detailed description, e.g. its location."""
+    """Values of a detailed description, e.g. the location, of a table or a partition of one."""
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
-    found = {row["col_name"]: row["data_type"] for row in rows}
+    # A partition's own location stands before that of its table.
+    found = {row["col_name"]: row["data_type"] for row in reversed(rows)}
     return [found[name] for name in wanted]
 
 
@@ -221,9 +230,10 @@ def _only_given_partitions(spark: SparkSession) -> Iterator[None]:
 
 
 def overwrite_partitions(frame: DataFrame, target: Target, database: str | None = None) -> None:
-    """Replace the partitions the rows fall into.
+    """Replace the partitions the rows fall into, in place.
 
-    The new files are complete before Spark takes the old ones away. ``frame`` must not read
+    The new files are complete before Spark takes the old ones away, but a failure in between
+    leaves partitions without either; ``replace_partitions`` does not. ``frame`` must not read
     the table itself; stage it first.
     """
     spark = frame.sparkSession
@@ -233,18 +243,70 @@ def overwrite_partitions(frame: DataFrame, target: Target, database: str | None
         rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
 
 
+def replace_partitions(frame: DataFrame, target: Target, database: str | None = None) -> None:
+    """Replace the partitions the rows fall into, each at once; ``frame`` may read the table.
+
+    The rows are written into a folder of their own, through a table of the same layout that goes
+    again. Then the catalog points each partition at its new folder. So a partition holds either
+    its old or its new rows, whatever fails and when. The rows that were replaced stay until the
+    next replacement, for queries that have begun to read them.
+    """
+    spark = frame.sparkSession
+    name = table_name(target, database)
+    partitions = partition_columns(spark, name)
+    base = _described(spark, name, "Location")[0].rstrip("/")
+    version = uuid.uuid4().hex
+    versions = f"{base}/{_VERSIONS}"
+    folder = f"{versions}/{version}"
+    beside = f"{table_name(target, database)}_{version}"
+    rows = for_writing(required(frame, target), target, partitions)
+    spark.sql(f"CREATE TABLE {beside} LIKE {name} LOCATION {sql_text(folder)}")
+    try:
+        rows.select(*spark.table(name).columns).write.insertInto(beside)
+        # As many as there are partitions to replace.
+        written = spark.table(beside).select(*partitions).distinct().collect()
+        specs = [
+            ", ".join(f"{quoted(c)} = {sql_text(str(row[c]))}" for c in partitions)
+            for row in written
+        ]
+        news = [_described(spark, f"{beside} PARTITION ({s})", "Location")[0] for s in specs]
+        held = {tuple(row) for row in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {beside}")
+        delete_folder(spark, folder)
+        raise
+    # From here on the folder stays: partitions may be pointed at it already.
+    spark.sql(f"DROP TABLE {beside}")
+    for spec, new in zip(specs, news):
+        place = new.removeprefix(folder)
+        if (place.strip("/"),) not in held:
+            spark.sql(
+                f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {sql_text(new)}"
+            )
+            continue
+        old = _described(spark, f"{name} PARTITION ({spec})", "Location")[0]
+        spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION {sql_text(new)}")
+        for root in (base, *(f"{versions}/{v}" for v in list_folder(spark, versions))):
+            if f"{root}{place}" not in (old, new):
+                _delete_upward(spark, f"{root}{place}", stop=(base, versions))
+    spark.catalog.refreshTable(name)
+
+
+def _delete_upward(spark: SparkSession, folder: str, stop: Sequence[str]) -> None:
+    """Delete a folder, and those above it that are empty then."""
+    delete_folder(spark, folder)
+    above = folder.rpartition("/")[0]
+    while above not in stop and not list_folder(spark, above):
+        delete_folder(spark, above)
+        above = above.rpartition("/")[0]
+
+
 def compact(
     spark: SparkSession, target: Target, registry: str, database: str | None = None
 ) -> None:
-    """Write the partitions of one registry anew, in few files.
-
-    Their rows are staged first, and stay staged if the replacement fails.
-    """
+    """Write the partitions of one registry anew, in few files; each is replaced at once."""
     held = spark.table(table_name(target, database)).where(F.col("registry") == registry)
-    with Staging(spark) as staging:
-        staged = staging.write(held.select(*target.columns))
-        staging.keep_on_error()
-        overwrite_partitions(staged.frame, target, database)
+    replace_partitions(held.select(*target.columns), target, database)
 
 
 def write_version(frame: DataFrame, target: Target, folder: str, provider: str) -> None:
@@ -252,16 +314,28 @@ def write_version(frame: DataFrame, target: Target, folder: str, provider: str)
     for_writing(frame, target, []).select(*target.columns).write.format(provider).save(folder)
 
 
+def _delete_versions(spark: SparkSession, folder: str, keep: Sequence[str]) -> None:
+    """Delete the folders of a plain table's versions, of which ``folder`` is one, but ``keep``."""
+    base = folder.rstrip("/").partition(_VERSION)[0]
+    parent, _, own = base.rpartition("/")
+    for found in list_folder(spark, parent):
+        path = f"{parent}/{found}"
+        if (found == own or found.startswith(f"{own}{_VERSION}")) and path not in keep:
+            delete_folder(spark, path)
+
+
 def replace_rows(frame: DataFrame, target: Target, database: str | None = None) -> None:
     """Replace all rows of a table without partitions; ``frame`` may read the table.
 
     The rows are written beside the table's folder and the table is then pointed at them, so it
-    holds either its old or its new rows, whatever fails. The old folder goes last.
+    holds either its old or its new rows, whatever fails. The old folder stays until the next
+    replacement, for queries that have begun to read it.
     """
     spark = frame.sparkSession
     name = table_name(target, database)
     old, provider = _described(spark, name, "Location", "Provider")
-    new = f"{old.rstrip('/').partition('-version-')[0]}-version-{uuid.uuid4().hex}"
+    old = old.rstrip("/")
+    new = f"{old.partition(_VERSION)[0]}{_VERSION}{uuid.uuid4().hex}"
     try:
         write_version(frame, target, new, provider)
         spark.sql(f"ALTER TABLE {name} SET LOCATION {sql_text(new)}")
@@ -269,4 +343,4 @@ def replace_rows(frame: DataFrame, target: Target, database: str | None = None)
         delete_folder(spark, new)
         raise
     spark.catalog.refreshTable(name)
-    delete_folder(spark, old)
+    _delete_versions(spark, new, keep=(old, new))

@@ -39,6 +39,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; nothing if it does not exist."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop_path):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(hadoop_path)]
+
+
 def quote(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 

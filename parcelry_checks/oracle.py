@@ -387,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "consolidate_shuffled": _with(_MERGED_STATE, *_MERGED),
         "consolidate_discovered": _with(_MERGED_STATE, *_MERGED),
         "consolidate_after_failure": _with(_MERGED_STATE, *_MERGED),
+        "consolidate_after_failure_partitioned": _with(_MERGED_STATE, *_MERGED),
         "consolidate_bad_registry": _with(
             f"""select table_name, registry, count(*) as n_rows,
                        case when registry = '{_ONE}' and table_name <> 'package_entry'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -378,9 +379,11 @@ def consolidate_bad_registry_check(spark: SparkSession, sf_dir: str) -> DataFram
     return status.join(held, ["table_name", "registry"])
 
 
-def consolidate_after_failure_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def consolidate_after_failure_check(
+    spark: SparkSession, sf_dir: str, partitioned: bool = False
+) -> DataFrame:
     """A run in which a registry fails, and the same run once more when it can be read."""
-    database = loaded_database(spark, sf_dir, partitioned=False)
+    database = loaded_database(spark, sf_dir, partitioned=partitioned)
     consolidate(spark, _failing_sources(spark, sf_dir), database)
     consolidate(spark, all_sources(spark, sf_dir), database)
     return state(spark, database)
@@ -500,7 +503,9 @@ def stream_merge_named_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_retries_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One registry fails in every attempt."""
-    letters = run_stream(spark, sf_dir, load=_failing_sources, retries=1)[1]
+    letters = run_stream(
+        spark, sf_dir, load=_failing_sources, retries=1, retry_delay=timedelta(0)
+    )[1]
     return spark.read.parquet(letters).select("id", "time", "detail.bucket", "reason")
 
 
@@ -569,6 +574,9 @@ def queries() -> dict[str, Check]:
         "consolidate_discovered": consolidate_discovered_check,
         "consolidate_bad_registry": consolidate_bad_registry_check,
         "consolidate_after_failure": consolidate_after_failure_check,
+        "consolidate_after_failure_partitioned": lambda s, d: consolidate_after_failure_check(
+            s, d, partitioned=True
+        ),
         "consolidate_strict": consolidate_strict_check,
         "consolidate_one": consolidate_one_check,
         "consolidate_rerun": consolidate_rerun_check,

@@ -1,4 +1,3 @@
-import re
 import uuid
 from collections import Counter
 
@@ -11,7 +10,7 @@ from parcelry.plans import run, tables
 from parcelry.plans.run import consolidate
 from parcelry.plans.tables import create_database, drop_targets, table_name
 from parcelry.schemas import ENTRY, OBJECTS_VIEW, PACKAGES_VIEW, REVISION, TAG, TARGETS
-from parcelry.session import delete_folder, work_folder
+from parcelry.session import work_folder
 from parcelry.sources.views import sources_from_catalog, sources_from_frames
 from tests.conftest import rows
 
@@ -119,30 +118,62 @@ def test_a_failed_replacement_loses_no_tags(
     assert [t[0] for t in contents(spark, database)["package_tag"]] == ["r1", "r1", "r2", "r2", "r3", "r3"]
 
 
-def test_no_tags_are_touched_after_a_failed_overwrite(
-    spark, make_database, make_sources, monkeypatch
+@pytest.mark.parametrize("options", [{}, {"isolate": True}])
+def test_a_failed_replacement_of_partitions_loses_no_tags(
+    spark, make_database, make_sources, monkeypatch, options
 ):
+    """A task that writes fails: the old tags stay readable, and the next run replaces them."""
     database = make_database()
     consolidate(spark, make_sources(views("r1", "h1") | views("r2", "h1")), database)
     before = contents(spark, database)["package_tag"]
+    replace_tags = run.replace_tags
 
-    def fail(*_):
-        raise PySparkException("no space left")
+    def fail_late(target, tags):
+        lost = F.raise_error(F.lit("no space left")).cast("string")
+        state = replace_tags(target, tags)
+        return state.withColumn("top_hash", F.when(F.col("pkg_name") == "b/b", lost).otherwise(F.col("top_hash")))
 
-    monkeypatch.setattr(run, "overwrite_partitions", fail)
     moved = make_sources(views("r1", "h2") | views("r2", "h2"))
-    report = consolidate(spark, moved, database, isolate=True)
+    with monkeypatch.context() as patch:
+        patch.setattr(run, "replace_tags", fail_late)
+        report = consolidate(spark, moved, database, **options)
     failed = [o for o in report.outcomes if o.status == "failed"]
-    assert [(o.target, o.registries, o.final) for o in failed] == [
-        ("package_tag", ("r1",), True),
-        ("package_tag", ("r2",), True),
-    ]
-    assert "not attempted" in failed[1].error
+    assert {(o.target, o.registries) for o in failed} == {
+        ("package_tag", ("r1",)),
+        ("package_tag", ("r2",)),
+    }
+    assert "no space left" in failed[0].error
     assert contents(spark, database)["package_tag"] == before
-    folder = re.search(r"state is in (\S+):", failed[0].error).group(1)
-    kept = spark.read.parquet(f"{folder}/1").select(*TAG.columns)
-    assert rows(kept) == [("r1", "a/a", "latest", "h2"), ("r1", "b/b", "latest", "h3")]
-    delete_folder(spark, folder)
+    left = spark.sql(f"SHOW TABLES IN `{database}`").where("not isTemporary")
+    assert left.count() == 5  # the three and two of keys, none that was written through
+    assert consolidate(spark, moved, database).rows("package_tag") == 2
+    assert [t[3] for t in contents(spark, database)["package_tag"]] == ["h2", "h3"] * 2
+
+
+def test_a_run_that_stops_while_partitions_are_switched(
+    spark, make_database, make_sources, monkeypatch
+):
+    """Some partitions are new, the others old, each whole."""
+    database = make_database()
+    consolidate(spark, make_sources(views("r1", "h1") | views("r2", "h1")), database)
+    moved = make_sources(views("r1", "h2") | views("r2", "h2"))
+    switched = []
+
+    def stop(spark, table, *wanted):
+        if table.startswith(f"{table_name(TAG, database)} PARTITION"):
+            switched.append(table)
+            if len(switched) == 2:
+                raise PySparkException("stopped")
+        return described(spark, table, *wanted)
+
+    described = tables._described
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_described", stop)
+        assert consolidate(spark, moved, database).failed == 2
+    hashes = [t[3] for t in contents(spark, database)["package_tag"] if t[1] == "a/a"]
+    assert sorted(hashes) == ["h1", "h2"]
+    assert consolidate(spark, moved, database).rows("package_tag") == 1
+    assert [t[3] for t in contents(spark, database)["package_tag"]] == ["h2", "h3"] * 2
 
 
 def test_only_data_errors_are_narrowed_down(spark, make_database, make_sources, monkeypatch):

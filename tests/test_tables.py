@@ -16,6 +16,7 @@ from parcelry.plans.tables import (
     drop_targets,
     missing_targets,
     overwrite_partitions,
+    replace_partitions,
     replace_rows,
     partition_columns,
     require_targets,
@@ -137,6 +138,45 @@ def test_replacing_a_table_switches_its_folder(spark, make_database, monkeypatch
     assert spark.table(name).count() == 2
 
 
+def test_replacing_partitions_switches_their_folders(spark, make_database):
+    database = make_database()
+    names = ["r", "it's/x", "s p%25"]
+    append_rows(tag_frame(spark, [(r, "a", "1") for r in names]), TAG, database)
+    name = table_name(TAG, database)
+    read = lambda: rows(spark.table(name).select(*TAG.columns))
+    for step in ("2", "3", "4"):
+        held = spark.table(name).select(*TAG.columns).where("registry <> 'r'")
+        new = tag_frame(spark, [(f"n{step}", "a", "1")])
+        replace_partitions(held.withColumn("top_hash", F.lit(step)).unionAll(new), TAG, database)
+    expected = [("it's/x", "4"), ("n2", "4"), ("n3", "4"), ("n4", "1"), ("r", "1"), ("s p%25", "4")]
+    assert [(r[0], r[3]) for r in read()] == expected
+    # Rows that are appended go where the partition is now.
+    append_rows(tag_frame(spark, [("it's/x", "b", "5")]), TAG, database)
+    assert ("it's/x", "b", "latest", "5") in read() and len(read()) == 7
+    replaced = [f for f in table_files(spark, database, TAG) if "registry=it" in f]
+    assert len(replaced) == 2
+    # On disk is the version before as well, and no older one.
+    folder = Path(tables._described(spark, name, "Location")[0].removeprefix("file:"))
+    kept = {f.parent for f in folder.rglob("*.parquet") if "registry=it" in str(f)}
+    assert len(kept) == 2
+    drop_targets(spark, database, [TAG])
+    assert not folder.exists()
+
+
+def test_a_query_outlives_one_replacement(spark, make_database):
+    for partitioned in (True, False):
+        database = make_database(partitioned)
+        append_rows(tag_frame(spark, [("r", "a", "1")]), TAG, database)
+        begun = spark.read.parquet(*table_files(spark, database, TAG))
+        replace = replace_partitions if partitioned else replace_rows
+        replace(tag_frame(spark, [("r", "a", "2")]), TAG, database)
+        assert begun.count() == 1
+        assert [r[3] for r in rows(spark.table(table_name(TAG, database)).select(*TAG.columns))] == ["2"]
+        replace(tag_frame(spark, [("r", "a", "3")]), TAG, database)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+            begun.collect()
+
+
 def entries(spark, count, hot=0):
     """``count`` entries with a physical key each, and ``hot`` that share one."""
     return spark.range(count + hot).select(
