@@ -517,6 +517,25 @@ def oracle_sql() -> dict[str, str]:
             "where sent < timestamp '2024-01-14'",
             "matching",
         ),
+        "stream_redelivered": _with(
+            """select distinct c.registry, 1::bigint as refreshed from cust c
+               where exists (select 1 from matching
+                             where bucket is null and sent >= timestamp '2024-01-14')
+                  or c.registry in (select bucket from matching
+                                    where bucket is not null and sent >= timestamp '2024-01-14')""",
+            "cust",
+            "matching",
+        ),
+        "stream_retries_later": _with(
+            f"""select registry, case when registry = '{_ONE}' then 3 else 1 end::bigint as attempts,
+                       0::bigint as letters, count(*) as n_revisions
+                from (select registry from loaded_revisions
+                      union all select registry from new_revisions)
+                group by registry""",
+            "loaded_revisions",
+            "new_revisions",
+        ),
+        "event_put_form": _with(_MERGED_STATE, *_MERGED),
         # log triage
         "log_recent": _all("log_window"),
         "log_severity": _with(f"select timestamp, message, {_SEVERITY} as severity from log", "log"),

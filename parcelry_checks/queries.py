@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from parcelry.operators.projections import (
     revision_rows,
     tag_rows,
 )
-from parcelry.plans.run import consolidate
+from parcelry.plans.run import RunReport, consolidate
 from parcelry.plans.tables import (
     append_rows,
     compact,
@@ -71,6 +73,7 @@ from parcelry.streaming import (
     registries_to_refresh,
     retained,
     routed_events,
+    unpack_bus_entries,
 )
 from parcelry_checks import fixtures as fx
 
@@ -471,23 +474,30 @@ def run_stream(
     sf_dir: str,
     events: DataFrame | None = None,
     load: Callable[[SparkSession, str], Sources] = all_sources,
+    deliveries: int = 1,
+    starts: Sequence[datetime] = (fx.EVENTS_ASOF,),
     **options,
 ) -> tuple[str, str]:
-    """Run the event-driven merge to its end; the database and the dead-letter folder."""
+    """Run the event-driven merge to its end, once for each of ``starts``; the database and the
+    dead-letter folder. Every event comes ``deliveries`` times, each in a micro-batch of its own."""
     inbox, letters = new_folder(spark, "events"), new_folder(spark, "dead-letters")
-    (fx.events(spark, sf_dir) if events is None else events).write.json(inbox)
+    events = fx.events(spark, sf_dir) if events is None else events
+    for _ in range(deliveries):
+        (events.coalesce(1) if deliveries > 1 else events).write.mode("append").json(inbox)
     database = loaded_database(spark, sf_dir, partitioned=False)
-    query = merge_on_events(
-        read_events(spark, inbox),
-        lambda session: load(session, sf_dir),
-        event_source=fx.EVENT_SOURCE,
-        database=database,
-        dead_letters=letters,
-        checkpoint=new_folder(spark, "stream"),
-        now=lambda: fx.EVENTS_ASOF,
-        **options,
-    )
-    query.awaitTermination()
+    checkpoint = new_folder(spark, "stream")
+    for start in starts:
+        query = merge_on_events(
+            read_events(spark, inbox, files_per_batch=1 if deliveries > 1 else None),
+            lambda session: load(session, sf_dir),
+            event_source=fx.EVENT_SOURCE,
+            database=database,
+            dead_letters=letters,
+            checkpoint=checkpoint,
+            now=lambda at=start: at,
+            **options,
+        )
+        query.awaitTermination()
     return database, letters
 
 
@@ -514,6 +524,58 @@ def stream_dead_letters_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.select("id", "time", "detail.bucket", "reason")
 
 
+def _refreshed(reports: list[tuple[int, RunReport]]) -> Counter:
+    """How often each registry was merged."""
+    merged = ({r for o in report.outcomes for r in o.registries} for _, report in reports)
+    return Counter(chain.from_iterable(merged))
+
+
+def stream_redelivered_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event in three micro-batches: how often each registry was refreshed."""
+    reports: list[tuple[int, RunReport]] = []
+    run_stream(spark, sf_dir, deliveries=3, on_report=lambda *report: reports.append(report))
+    return spark.createDataFrame(
+        list(_refreshed(reports).items()), "registry string, refreshed bigint"
+    )
+
+
+def stream_retries_later_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One registry cannot be read in the first two attempts, minutes apart, but in the third:
+    attempts, dead letters but for expired events, and revisions by registry."""
+    reports: list[tuple[int, RunReport]] = []
+
+    def load(session: SparkSession, folder: str) -> Sources:
+        return (_failing_sources if len(reports) < 2 else all_sources)(session, folder)
+
+    later = [fx.EVENTS_ASOF + timedelta(minutes=m) for m in (0, 1, 2, 3)]
+    database, letters = run_stream(
+        spark, sf_dir, load=load, starts=later, on_report=lambda *report: reports.append(report)
+    )
+    died = spark.read.parquet(letters).where("reason <> 'expired'").agg(
+        F.count(F.lit(1)).alias("letters")
+    )
+    attempts = spark.createDataFrame(
+        list(_refreshed(reports).items()), "registry string, attempts bigint"
+    )
+    held = read(spark, database, REVISION).groupBy("registry").agg(
+        F.count(F.lit(1)).alias("n_revisions")
+    )
+    return attempts.join(held, "registry").join(F.broadcast(died), how="left")
+
+
+def event_put_form_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are sent, with the detail as text and without a time, arriving when the
+    delivered ones were sent."""
+    sent = fx.events(spark, sf_dir).select(
+        F.col("source").alias("Source"),
+        F.col("detail-type").alias("DetailType"),
+        F.to_json("detail").alias("Detail"),
+        F.lit("default").alias("EventBusName"),
+        "time",
+    )
+    return state(spark, run_stream(spark, sf_dir, unpack_bus_entries(sent, F.col("time").cast("timestamp")))[0])
+
+
 # --- log triage
 
 
@@ -590,6 +652,9 @@ def queries() -> dict[str, Check]:
         "stream_merge_named": stream_merge_named_check,
         "stream_retries": stream_retries_check,
         "stream_dead_letters": stream_dead_letters_check,
+        "stream_redelivered": stream_redelivered_check,
+        "stream_retries_later": stream_retries_later_check,
+        "event_put_form": event_put_form_check,
         "log_recent": _log_window,
         "log_severity": lambda s, d: logs.with_severity(fx.log_lines(s, d)),
         "log_pattern": lambda s, d: logs.containing(_log_window(s, d), "bucket"),

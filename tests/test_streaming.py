@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
+from time import sleep
 
 import pytest
 from pyspark.errors import PySparkException
@@ -19,12 +20,14 @@ from parcelry.streaming import (
     routed_events,
     unpack_bus_entries,
 )
+from parcelry.streaming.job import Waiting, without_redelivered
 from tests.conftest import rows
 from tests.test_consolidate import package, views
 
 pytestmark = pytest.mark.usefixtures("interpreted")
 SOURCE = "org.example.packages"
 NOW = datetime(2025, 4, 26, 12, 0, 0)
+AT_ONCE = timedelta(0)
 
 
 def event(bucket="r1", time="2025-04-26T11:46:51Z", change="created", kind="package-revision",
@@ -163,7 +166,7 @@ def test_events_of_a_failing_registry_become_dead_letters(stream, make_sources):
     bad["bad_packages-view"].append(package("z/z", "hz", "v1.0"))
     sources = make_sources(bad | views("r1"))
     events = [event("bad", name="b"), event("r1", name="g")]
-    assert stream(events, sources, retries=1) == ({"r1"}, 3, [("b", "retries exhausted")])
+    assert stream(events, sources, retries=1, retry_delay=AT_ONCE) == ({"r1"}, 3, [("b", "retries exhausted")])
 
 
 def test_a_failed_replacement_is_repeated_without_loss(stream, make_sources, spark, monkeypatch):
@@ -179,10 +182,115 @@ def test_a_failed_replacement_is_repeated_without_loss(stream, make_sources, spa
 
     monkeypatch.setattr(tables, "write_version", fail_once)
     moved = make_sources(views("r1", "h2") | views("r2", "h1"))
-    assert stream([event("r1", name="m")], moved) == ({"r1", "r2"}, 6, [])
+    assert stream([event("r1", name="m")], moved, retry_delay=AT_ONCE) == ({"r1", "r2"}, 6, [])
     assert len(calls) == 2
 
 
+def bad_and_good():
+    bad = views("bad")
+    bad["bad_packages-view"].append(package("z/z", "hz", "v1.0"))
+    return bad | views("r1"), views("bad") | views("r1")
+
+
+def test_redelivered_events_are_left_out(stream, make_sources):
+    sources = make_sources(views("r1") | views("r2"))
+    reports = []
+    keep = {"on_report": lambda batch, report: reports.append(report)}
+    for _ in range(2):
+        stream([event("r1"), event("r1"), event("r2", name="f")], sources, **keep)
+    assert [r.registries for r in reports] == [2]
+    # Without an id as well; an event that differs in anything is another one.
+    stream([event("r1", name=None)], sources, **keep)
+    stream([event("r1", name=None)], sources, **keep)
+    assert [r.registries for r in reports] == [2, 1]
+    stream([event("r1", time="2025-04-26T11:46:52Z")], sources, **keep)
+    assert [r.registries for r in reports] == [2, 1, 1]
+
+
+def test_the_state_of_redelivery_goes_after_its_time(spark, tmp_path):
+    """A second later nothing is left of the first batch, and its event counts as new."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    seen = []
+    for number, wait in enumerate((0, 0, 3)):
+        sleep(wait)
+        (inbox / f"{number}.json").write_text(json.dumps(event()))
+        query = (
+            without_redelivered(read_events(spark, str(inbox)), hours=0)
+            .writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    state = query.lastProgress["stateOperators"][0]
+    assert state["operatorName"] == "dedupeWithinWatermark" and state["numRowsTotal"] <= 1
+    assert sum(seen) >= 2
+
+
+def test_a_failed_merge_is_tried_again_later(stream, make_sources):
+    bad, good = map(make_sources, bad_and_good())
+    reports = []
+    keep = {"on_report": lambda batch, report: reports.append(report)}
+    at = lambda minutes: {"now": lambda: NOW + timedelta(minutes=minutes), **keep}
+    events = [event("bad", name="b"), event("r1", name="g")]
+    assert stream(events, bad, **at(0)) == ({"r1"}, 3, [])
+    # Not due yet; a minute later it is, and fails again; then two minutes go by.
+    assert stream([], bad, **at(0.5)) == ({"r1"}, 3, [])
+    assert stream([], bad, **at(1)) == ({"r1"}, 3, [])
+    assert stream([], good, **at(2.5)) == ({"r1"}, 3, [])
+    assert [r.registries for r in reports] == [2, 1]
+    assert stream([], good, **at(3)) == ({"bad", "r1"}, 6, [])
+    assert stream([], good, **at(60)) == ({"bad", "r1"}, 6, [])
+    assert [r.registries for r in reports] == [2, 1, 1]
+
+
+def test_repeats_end_in_a_dead_letter(stream, make_sources):
+    bad, _ = map(make_sources, bad_and_good())
+    minutes = [0, 1, 3, 7]
+    found = [
+        stream(
+            [event("bad", name="b")] if m == 0 else [],
+            bad,
+            now=lambda m=m: NOW + timedelta(minutes=m),
+        )[2]
+        for m in minutes
+    ]
+    assert found == [[], [], [], [("b", "retries exhausted")]]
+    # An event for the registry that comes later begins anew.
+    assert stream([event("bad", name="c")], bad, now=lambda: NOW + timedelta(minutes=9))[2] == found[3]
+
+
+def test_a_waiting_event_expires(stream, make_sources):
+    bad, _ = map(make_sources, bad_and_good())
+    assert stream([event("bad", name="b")], bad)[2] == []
+    assert stream([], bad, now=lambda: NOW + timedelta(hours=25))[2] == [("b", "expired")]
+
+
+def test_a_merge_for_another_event_settles_those_that_wait(stream, make_sources):
+    bad, good = map(make_sources, bad_and_good())
+    assert stream([event(None, name="all"), event("bad", name="b")], bad) == ({"r1"}, 3, [])
+    assert stream([event("bad", name="c")], good) == ({"bad", "r1"}, 6, [])
+    later = {"now": lambda: NOW + timedelta(hours=30)}
+    assert stream([], good, **later) == ({"bad", "r1"}, 6, [])
+
+
+def test_a_repeated_batch_reads_what_was_before_it(spark, tmp_path):
+    schema = frame(spark, [event()]).schema
+    waiting = Waiting(spark, str(tmp_path / "waiting"), schema)
+    rows_of = lambda n: spark.createDataFrame(
+        [tuple(frame(spark, [event(name=f"e{n}")]).first()) + ("r1", n, NOW, "x")], waiting.schema
+    )
+    assert waiting.before(0).count() == 0 and not waiting.any_due(NOW)
+    for batch in (0, 3, 3, 4):
+        waiting.write(rows_of(batch), batch)
+        expected = {0: None, 3: 0, 4: 3}[batch]
+        found = waiting.before(batch).first()
+        assert (found and found.tries) == expected
+    assert waiting.any_due(NOW) and not waiting.any_due(NOW - timedelta(seconds=1))
+    assert sorted(p.name for p in (tmp_path / "waiting").iterdir()) == ["batch-3", "batch-4"]
+
+
 def test_letters_are_dropped_after_their_time(stream, make_sources):
     sources = make_sources(views("r1"))
     old = event("r1", time="2025-04-20T00:00:00Z", name="old")
