@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -110,9 +111,9 @@ def test_every_rule_labels_a_text(spark, most):
 
 def test_short_forms_and_spdx_lines(spark):
     texts = {
-        "Released under GPL2.": "gpl-2.0-short",
-        "Use LGPL3": "lgpl",
-        "under the GPLv3": "gpl-3.0-short",
+        "Released under GPL2.": "gpl-2.0",
+        "Use LGPL3": "lgpl-3.0",
+        "under the GPLv3": "gpl-3.0",
         "SPDX-License-Identifier: MIT": "mit",
         "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
         "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
@@ -123,3 +124,76 @@ def test_short_forms_and_spdx_lines(spark):
     }
     found = _scan(spark, list(texts))
     assert [found[i].labels for i in range(len(texts))] == list(texts.values())
+
+
+def test_a_license_has_one_label_however_it_is_written(spark):
+    texts = {
+        "the Expat License": "mit",
+        "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International": "cc-by-nc-4.0",
+        "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc-4.0",
+        "CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "GNU Lesser General Public License, version 3": "gpl,lgpl-3.0",
+    }
+    found = _scan(spark, list(texts))
+    assert [found[i].labels for i in range(len(texts))] == list(texts.values())
+
+
+def test_patterns_written_by_hand():
+    by_hand = [
+        *(name for _, name in licenses.NAMES.values()), *(name for _, _, name in licenses.SHORT),
+        *licenses.SPDX.values(), *licenses.GRANTS.values(),
+        *(pattern for *_, pattern in licenses.OTHERS), *(pattern for *_, pattern in licenses.NOTICES),
+    ]
+    assert len(set(by_hand)) >= 200
+
+
+def _plainly(text):
+    """Labels and score by comparing every detection with every other."""
+    words = [w for w in re.split(licenses.SEPARATORS, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    joined = f" {' '.join(words)} "
+    spans = {
+        (m.start(), m.end(), r.rank, r.label)
+        for r in licenses.rules()
+        if all(k in joined for k in r.keywords)
+        for m in re.finditer(r.pattern, joined)
+    }
+
+    def hidden(s, o):
+        inside = o[0] <= s[0] and s[1] <= o[1] and o[2] <= s[2]
+        return inside and (o[:2] != s[:2] or (o[2], o[3]) < (s[2], s[3]))
+
+    kept = [s for s in spans if not any(hidden(s, o) for o in spans)]
+    labels = {label for *_, label in kept} | {
+        label for label, phrase in licenses.BASE_PHRASES.items() if f" {' '.join(phrase)} " in joined
+    }
+    base = any(f" {' '.join(phrase)} " in joined for phrase in licenses.BASE_PHRASES.values())
+    scores = [licenses.CONFIDENCE[s[2]] for s in kept] + [licenses.CONFIDENCE[licenses.NAME]] * base
+    return ",".join(sorted(labels)), max(scores, default=0.0)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_containment_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rules = licenses.rules()
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 8)):
+            part = _fitting(rng.choice(rules).pattern, rng.random() < 0.5).split()
+            if rng.random() < 0.3:  # a beginning or an end only
+                cut = rng.randint(0, len(part))
+                part = part[:cut] if rng.random() < 0.5 else part[cut:]
+            parts += part + [rng.choice(["", "word", "gnu", "under the", "license"])]
+        texts.append(" ".join(parts))
+    found = _scan(spark, texts)
+    assert [(found[i].labels, found[i].score) for i in range(len(texts))] == [_plainly(t) for t in texts]
+
+
+def test_a_text_of_a_hundred_thousand_signatures(spark):
+    n = 100_000
+    begin = time.monotonic()
+    found = _scan(spark, ["all rights reserved " * n, "GPL 2.0, " * n])
+    assert time.monotonic() - begin < 60
+    assert (found[0].n_base, found[0].last_word, found[0].labels) == (n, 3 * n - 3, "reserved")
+    assert (found[1].n_words, found[1].labels, found[1].score) == (3 * n, "gpl-2.0", 0.8)
