@@ -88,7 +88,7 @@ NAMES = {
     "hpnd": ("historical", r"historical permission notice and disclaimer"),
     "lgpl-2.0": ("library", r"(?:gnu )?library general public licen[cs]e(?: v(?:ersion)? ?2(?: 0)?)?"),
     "ms-rl": ("reciprocal", r"microsoft reciprocal licen[cs]e"),
-    "mulanpsl-2.0": ("mulan", r"mulan (?:permissive software licen[cs]e|psl)(?: v?2)?"),
+    "mulanpsl-2.0": ("mulan", r"mulan permissive software licen[cs]e(?: v?2)?"),
     "ncsa": ("ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
     "odc-by-1.0": ("commons", r"open data commons attribution licen[cs]e"),
     "openrail": ("openrail", r"(?:bigscience |creativeml )?openrail(?: m)?(?: licen[cs]e)?"),
@@ -136,6 +136,7 @@ SHORT = [
     ("mpl-1.1", "mpl", r"mpl ?v?1 [01]"),
     ("mpl-2.0", "mpl", r"mpl ?v?2(?: 0)?"),
     ("ms-pl", "ms pl", r"ms pl"),
+    ("mulanpsl-2.0", "mulan", r"mulan psl(?: v?2)?"),
     ("odbl-1.0", "odbl", r"odbl(?: v?1 0)?"),
     ("ofl-1.1", "ofl", r"(?:sil )?ofl ?v?1 1"),
     ("python-2.0", "psf", r"psf licen[cs]e"),
@@ -178,7 +179,7 @@ OTHERS = [
     ("reserved", NAME, "reserved", r"(?:all|some|no) rights(?: are)? reserved"),
     ("proprietary", NAME, "proprietary", r"proprietary and confidential"),
     ("proprietary", NAME, "reproduction", r"(?:unauthori[sz]ed )?reproduction(?: or distribution)? (?:is )?(?:strictly )?prohibited"),
-    ("non-commercial", HINT, "commercial", r"non ?commercial use only"),
+    ("non-commercial", HINT, "non", r"non ?commercial use only"),
     ("copyright", HINT, "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
     ("license-mention", HINT, "license", r"(?:see|read) (?:the )?licen[cs]e(?: file)?"),
     ("license-mention", HINT, "licence", r"(?:see|read) (?:the )?licen[cs]e(?: file)?"),
@@ -271,7 +272,7 @@ NOTICES = [
     ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
     ("ftl", "freetype", r"portions of this software are copyright (?:\S{1,40} ){1,4}the freetype project"),
     ("json", "evil", r"the software shall be used for good not evil"),
-    ("beerware", "beer", r"you can buy me a beer in return"),
+    ("beerware", "buy", r"you can buy me a beer in return"),
     ("busl-1.1", "production", r"create derivative works redistribute and make non production use of the licensed work"),
     ("commons-clause", "sell", r"the licen[cs]e does not grant to you the right to sell the software"),
     ("proprietary", "sold", r"this software is licensed not sold"),
@@ -283,15 +284,17 @@ NOTICES = [
 GATES = sorted(
     {keyword for keyword, _ in NAMES.values() if keyword != "mit licen"}
     | {keyword for _, keyword, _ in SHORT if keyword != "ms pl"}
-    | {keyword for _, _, keyword, _ in OTHERS}
+    | {keyword for _, _, keyword, _ in OTHERS if keyword != "non"}
     | {keyword for _, keyword, _ in NOTICES}
-    | {"license", "licence", "noncommercial", "spdx", "pl", "lgplv", "gplversion"}
+    | {"license", "licence", "commercial", "noncommercial", "spdx", "pl", "lgplv", "gplversion"}
     | {name + v + n for name in ("gpl", "lgpl", "agpl", "epl", "mpl", "ofl") for v in ("", "v") for n in "123"}
 )
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``keywords``: how a word of each match begins, and what each match holds besides."""
+
     label: str
     rank: int
     keywords: tuple[str, ...]
@@ -304,7 +307,9 @@ def rules() -> list[Rule]:
     found = []
     names = [(label, *rest) for label, rest in NAMES.items()] + SHORT
     for label, keyword, name in names:
-        found.append(Rule(label, NAME, (keyword,), rf"(?<= ){name}(?= )"))
+        # A name that ends with "license" needs that as well, and not only where it may have it.
+        needs = (keyword, "licen") if "licen[cs]e" in name.split("(?: licen")[0] else (keyword,)
+        found.append(Rule(label, NAME, needs, rf"(?<= ){name}(?= )"))
         for verb, grant in GRANTS.items():
             found.append(Rule(label, GRANT, (keyword, verb), rf"(?<= ){grant} {name}(?= )"))
     found += [
@@ -355,31 +360,42 @@ def _running(numbers: Column) -> Column:
     return F.aggregate(steps, numbers, add)
 
 
-def _detections(joined: Column, table: list[Rule]) -> Column:
-    """Start, end, rank and label of all matches of the rules whose keywords the text has."""
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(r.rank).alias("rank"),
-                F.lit(r.label).alias("label"),
-                F.lit(r.keywords[0]).alias("first"),
-                F.lit(r.keywords[-1]).alias("second"),
-                F.lit(r.pattern).alias("pattern"),
-            )
-            for r in table
+def _by_keyword(table: list[Rule]) -> Column:
+    """The rules below the keyword that their matches begin a word with, as one literal.
+
+    It is given as SQL, since a column for each of its thousands of values takes seconds to build.
+    """
+    below: dict[str, list[Rule]] = {}
+    for r in table:
+        below.setdefault(r.keywords[0], []).append(r)
+
+    def row(r: Rule) -> str:
+        return (
+            f"named_struct('rank', {r.rank}, 'label', '{r.label}', "
+            f"'needs', '{r.keywords[-1]}', 'pattern', r'{r.pattern}')"
         )
+
+    groups = (
+        f"named_struct('keyword', ' {keyword}', 'rules', array({', '.join(map(row, found))}))"
+        for keyword, found in below.items()
     )
+    return F.expr(f"array({', '.join(groups)})")
+
+
+def _detections(joined: Column, table: list[Rule]) -> Column:
+    """Start, end, rank and label of all matches of the rules whose keywords the text has."""
+    begun = F.filter(_by_keyword(table), lambda g: F.contains(joined, g["keyword"]))
     tried = F.filter(
-        rows, lambda r: F.contains(joined, r["first"]) & F.contains(joined, r["second"])
+        F.flatten(F.transform(begun, lambda g: g["rules"])), lambda r: F.contains(joined, r["needs"])
     )
 
+    def find(r: Column) -> Column:
+        matches = F.regexp_extract_all(joined, r["pattern"], F.lit(0))
+        return F.struct(*(r[k].alias(k) for k in ("rank", "label", "pattern")), matches.alias("found"))
+
     def cut(r: Column) -> Column:
-        return F.struct(
-            r["rank"].alias("rank"),
-            r["label"].alias("label"),
-            F.split(joined, r["pattern"], -1).alias("between"),
-            F.regexp_extract_all(joined, r["pattern"], F.lit(0)).alias("found"),
-        )
+        between = F.split(joined, r["pattern"], -1)
+        return F.struct(*(r[k].alias(k) for k in ("rank", "label", "found")), between.alias("between"))
 
     def lengths(c: Column) -> Column:
         """Of what stands before each match and of the match itself, in turn."""
@@ -404,8 +420,8 @@ def _detections(joined: Column, table: list[Rule]) -> Column:
         )
 
     # One transform for each step: what a lambda takes from outside is worked out for every element.
-    cuts = F.filter(F.transform(tried, cut), lambda c: F.size(c["found"]) > 0)
-    return F.array_sort(F.flatten(F.transform(F.transform(cuts, lengths), spans)))
+    fitting = F.filter(F.transform(tried, find), lambda r: F.size(r["found"]) > 0)
+    return F.array_sort(F.flatten(F.transform(F.transform(F.transform(fitting, cut), lengths), spans)))
 
 
 def _outermost(spans: Column) -> Column:

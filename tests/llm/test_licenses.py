@@ -37,7 +37,8 @@ def test_there_are_hundreds_of_rules_and_their_keywords_hold():
     for rule in rules:
         re.compile(rule.pattern)
         assert any(w in rule.keywords[0] or rule.keywords[0].startswith(w) for w in licenses.GATES) or (
-            rule.keywords[0] == "mit licen"
+            # Too common for a gate; their rules pass by "license" and "commercial".
+            rule.keywords[0] in ("mit licen", "non")
         )
 
 
