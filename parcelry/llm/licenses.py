@@ -12,6 +12,7 @@ by doubling, so a text with n signatures takes n log n steps.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -301,14 +302,17 @@ class Rule:
     pattern: str
 
 
+#: A part of an expression that a match may lack, with groups in it or without.
+OPTIONAL = re.compile(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\?")
+
+
 def rules() -> list[Rule]:
     """A rule for each name alone, and for each way of granting with each name, and for what an
     SPDX line says."""
     found = []
     names = [(label, *rest) for label, rest in NAMES.items()] + SHORT
     for label, keyword, name in names:
-        # A name that ends with "license" needs that as well, and not only where it may have it.
-        needs = (keyword, "licen") if "licen[cs]e" in name.split("(?: licen")[0] else (keyword,)
+        needs = (keyword, "licen") if "licen[cs]e" in OPTIONAL.sub("", name) else (keyword,)
         found.append(Rule(label, NAME, needs, rf"(?<= ){name}(?= )"))
         for verb, grant in GRANTS.items():
             found.append(Rule(label, GRANT, (keyword, verb), rf"(?<= ){grant} {name}(?= )"))
