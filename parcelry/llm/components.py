@@ -1,10 +1,15 @@
-"""Connected components of a list of links, by alternating stars."""
+"""Connected components of a list of links, by alternating stars.
+
+The node in the middle of a star is the key of all its links. What is joined to it is one row a
+node, shuffled for the join itself, so that Spark can cut a node with very many links into tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelry.operators.merge import hash_join
 from parcelry.session import Staging
 
 
@@ -13,8 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        both.where("b > a")
-        .join(least, "a")
+        hash_join(both.where("b > a"), least, ["a"], "inner")
         .select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         .where("a != b")
         .distinct()
@@ -26,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        down.join(least, "a")
+        hash_join(down, least, ["a"], "inner")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .where("a != b")
         .union(least.select("a", F.col("m").alias("b")))

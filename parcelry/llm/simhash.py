@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from parcelry.llm.components import components
 from parcelry.llm.text import sliced, spaced_words
+from parcelry.operators.merge import hash_join
 from parcelry.session import Staging
 
 SHINGLE = 3
@@ -205,7 +206,7 @@ def group_fingerprints(hashed: DataFrame, staging: Staging) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return staging.write(named.join(smallest, "root")).frame
+    return staging.write(hash_join(named, smallest, ["root"], "inner")).frame
 
 
 def near_duplicates(docs: DataFrame, staging: Staging, doc: str = "doc_id", text: str = "text"):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelry.llm import simhash
-from parcelry.llm.components import components
+from parcelry.llm.components import _large_star, _small_star, components
 from parcelry.session import Staging
 
 
@@ -98,3 +98,47 @@ def test_one_of_each_without_ids(spark, staging):
         "another one",
         "same text here",
     ]
+
+
+@pytest.fixture
+def skewed(spark):
+    """No broadcasts, and limits so low that a third of a small table counts as skewed."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("star, middle", [(_large_star, 0), (_small_star, 1 << 40)])
+def test_a_star_of_a_third_of_all_links_is_cut(spark, skewed, staging, star, middle):
+    """Of 60,000 links 20,000 meet in one node, smaller or larger than all others."""
+    i = F.col("id")
+    edges = staging.write(
+        spark.range(60000)
+        .repartition(8)
+        .select(
+            F.when(i < 20000, F.lit(middle)).otherwise(i * 2 + 1).cast("long").alias("a"),
+            F.when(i < 20000, i + 200001).otherwise(i * 2 + 2).cast("long").alias("b"),
+        )
+    ).frame
+    joined = star(edges)
+    assert len(joined.collect()) == 60000
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_a_large_star_without_broadcasts(spark, skewed, staging):
+    edges = spark.range(30000).select(F.lit(7).cast("long").alias("a"), (F.col("id") + 8).alias("b"))
+    edges = edges.union(spark.createDataFrame([(8, 3), (40000, 40001)], "a long, b long"))
+    found = components(edges, staging)
+    assert found.groupBy("root").count().orderBy("root").collect() == [(3, 30001), (40000, 1)]
