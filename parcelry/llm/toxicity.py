@@ -199,7 +199,8 @@ def learn_lexicon(
 
     At most ``sample`` toxic and four times as many clean texts are learnt from, chosen by a hash
     of their id, which also bounds the sizes of all that is counted. Of near copies, whose every
-    word would seem to stand out, one counts. An entry is in ``least`` toxic texts or more,
+    word would seem to stand out, that of the smallest id counts (of rows with one id, the text
+    that sorts first), whatever the order of the rows. An entry is in ``least`` toxic texts or more,
     its log odds are at least ``odds``, and it stands out by more than the chance that some
     entry of so many does. Of entries that begin alike the one that tells most stays, and of
     several equal in that the longest. Rows held out, and labels or texts that are NULL, are not learnt from; an id with
@@ -222,8 +223,9 @@ def learn_lexicon(
         docs.select("doc_id", "text")
         .where("text IS NOT NULL")
         .join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")  # of bounded size
-        .select("toxic", "text", F.arrow_udf("long")(sliced(_marks))("text").alias("mark"))
-        .dropDuplicates(["toxic", "mark"])
+        .select("toxic", "doc_id", "text", F.arrow_udf("long")(sliced(_marks))("text").alias("mark"))
+        .groupBy("toxic", "mark")
+        .agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
     ).frame
     n_of = {r.toxic: r[1] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n_of.get(1, 0), n_of.get(0, 0)

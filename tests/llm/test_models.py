@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from parcelry.llm import language, quality, toxicity
@@ -129,6 +130,29 @@ def test_learnt_lexicon(spark):
     assert [r[0] for r in found] == [toxic for _, toxic in labels]
 
 
+def test_of_near_copies_the_smallest_id_is_learnt_from(spark):
+    """The copies share their least hash, but only every group's first has the bad word."""
+    rng = random.Random(5)
+    plain = [f"w{i}ord" for i in range(300)]
+    rows, labels = [], []
+    for i in range(0, 300, 3):
+        words, toxic = rng.sample(plain, 40), int(i % 5 == 0)
+        runs = [" ".join(words[k : k + 3]).encode() for k in range(38)]
+        least = min(range(38), key=lambda k: xxhash.xxh64_intdigest(runs[k]))
+        at = 0 if least > 20 else 39
+        for copy, word in enumerate(["vilest", "pure", "clear"]):
+            changed = [word if toxic and k == at else w for k, w in enumerate(words)]
+            rows.append((i + copy, " ".join(changed)))
+            labels.append((i + copy, toxic))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = []
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        frame = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        with Staging(spark) as staging:
+            found.append(toxicity.learn_lexicon(frame, marks, staging))
+    assert found[0] == found[1] == found[2] and found[0].weights
+
+
 def test_held_out_labels_do_not_matter(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn(
