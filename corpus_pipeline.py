@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from parcelry.llm import decontaminate, quality, simhash, toxicity
 from parcelry.llm.queries import token_digests, table
-from parcelry.session import Staging, work_folder
+from parcelry.session import Staging, delete_folder, work_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}"
         result.write.parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)
+        if number:  # what this stage read is not needed any more
+            delete_folder(spark, f"{folder}/{number - 1}")
     return docs
