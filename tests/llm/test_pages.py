@@ -163,3 +163,75 @@ def test_deep_nesting_is_linear():
     assert p.blocks_of("<div>" * 100_000 + "</b>" * 100_000 + "x") == [(p.OTHER, "x")]
     assert p.blocks_of("<i><b>" * 50_000 + "</i></b>" * 50_000 + "y") == [(p.OTHER, "y")]
     assert time.process_time() - began < 10
+
+
+def _main_texts(spark, rows, per_group):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with Staging(spark) as staging:
+        return {r.page_id: r.text for r in p.main_texts(frame, staging, per_group).collect()}
+
+
+@pytest.mark.parametrize("per_group", [1000, 4, 1])
+def test_articles_are_compared(spark, per_group):
+    """What the site puts into its articles under a name that tells nothing goes."""
+    site = "<div class='x1'>Read on for more of this with our app</div>"
+    legal = " ".join(f"legal{k}" for k in range(30))
+    own = [" ".join(f"own{i}x{k}" for k in range(60)) for i in range(12)]
+    quote = "<p>a line that few of the pages quote</p>"
+    article = "<article><h1>Page {}</h1><p>{}</p>{}{}<p>The end {} {}</p></article>"
+    rows = [
+        (i, f"http://h.example/{i}", article.format(i, own[i], site if i % 3 else "", quote if i < 5 else "", i, legal))
+        for i in range(12)
+    ]
+    # Without a comparison to make: two pages, and a page without an article beside the others.
+    rows += [(20 + i, f"http://two.example/{i}", article.format(i, own[i], site, "", i, legal)) for i in range(2)]
+    rows += [(30, "http://h.example/list", "<p>" + own[11] + "</p>"), (31, None, None)]
+    found = _main_texts(spark, rows, per_group)
+    quoted = "a line that few of the pages quote "
+    for i in range(12):
+        assert found[i] == f"Page {i} {own[i]} {quoted if i < 5 else ''}The end {i}"
+    for i in range(2):
+        assert found[20 + i] == f"Page {i} {own[i]} Read on for more of this with our app The end {i} {legal}"
+    assert (found[30], found[31], len(found)) == (own[11], "", 16)
+
+
+def test_copied_articles_keep_their_text(spark):
+    rng, words = random.Random(5), [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(9):  # six near copies, three of their own
+        copy = list(words)
+        copy[rng.randrange(200)] = f"edit{i}"
+        texts.append(" ".join(copy if i < 6 else (f"own{i}x{k}" for k in range(80))))
+    rows = [(i, f"http://h.example/{i}", f"<nav>{i}</nav><article><p>{texts[i % 9]}</p></article>") for i in range(18)]
+    found = _main_texts(spark, rows, 1000)
+    assert found == {i: texts[i % 9] for i in range(18)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_articles_against_brute_force(spark, seed, monkeypatch):
+    """Groups of any size name the same runs as all articles of a host together."""
+    rng, rows, expected = random.Random(seed), [], {}
+    for host in range(3):
+        lines = [" ".join(f"s{i}x{k}" for k in range(rng.choice([6, 12, 30]))) for i in range(6)]
+        shares = [rng.choice([0.3, 0.45, 0.5, 0.55, 0.7]) for _ in lines]
+        pages = []
+        for i in range(rng.choice([2, 7, 20, 41])):
+            own = [" ".join(f"own{i}x{j}x{k}" for k in range(50)) for j in range(4)]
+            blocks = own + [line for line, share in zip(lines, shares) if rng.random() < share]
+            rng.shuffle(blocks)
+            pages.append(blocks)
+        least = max(3, (len(pages) + 1) // 2)
+        common = {line for line in lines if sum(line in blocks for blocks in pages) >= least}
+        for i, blocks in enumerate(pages):
+            rest = [b for b in blocks if b not in common]
+            gone = sum(len(b.split()) for b in blocks if b in common)
+            whole = 2 * gone > sum(len(b.split()) for b in blocks)
+            expected[1000 * host + i] = " ".join(blocks if whole else rest)
+            html = "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"
+            rows.append((1000 * host + i, f"http://h{host}.example/{i}", html))
+            rows.append((1000 * host + i + 500, f"http://h{host}.example/copy/{i}", html))
+    for per_group, size in ((1000, 1 << 30), (6, 1 << 30), (1000, 9000)):
+        monkeypatch.setattr(p, "BYTES_A_GROUP", size)
+        found = _main_texts(spark, rows, per_group)
+        assert all(found[i] == text and found[i + 500] == text for i, text in expected.items())
+        assert len(found) == 2 * len(expected)
