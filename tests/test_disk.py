@@ -117,3 +117,25 @@ def test_loaded_entries_are_those_of_old_revisions(spark):
     found = fx.loaded_entries(spark, SF)
     assert found.columns == entries.columns
     assert rows(found) == rows(expected.select(*found.columns))
+
+
+def test_a_bad_view_is_looked_for_once(spark, interpreted, make_database, make_sources, monkeypatch):
+    """What the merge of revisions has found out is not tried by halves again for the tags."""
+    database = make_database(partitioned=False)
+    good = {name: found for r in ("r1", "r2", "r4") for name, found in views(r).items()}
+    bad = views("r3") | {"r3_packages-view": [("a/a", "h1", "no number", "m", None)]}
+    tried = {}
+
+    def noting(merge):
+        def noted(self, target, registries):
+            tried.setdefault(target.name, []).append(tuple(sorted(registries)))
+            return merge(self, target, registries)
+
+        return noted
+
+    for name in ("merge_revisions", "merge_tags"):
+        monkeypatch.setattr(run._Run, name, noting(getattr(run._Run, name)))
+    report = consolidate(spark, make_sources(good | bad), database)
+    assert [o.registries for o in report.outcomes if o.status == "failed"] == [("r3",)]
+    assert len(tried["package_revision"]) == 5
+    assert tried["package_tag"] == [("r1", "r2", "r4"), ("r3",)]
